@@ -79,7 +79,7 @@ def flag_truncated(texts: DataFrame, text: str = "text", source: str = "source",
     marked = whole.rlike(CUT_MARK) & ~whole.rlike(ABBREVIATED)
     open_end = ~ending.rlike(ENDED)
     lines = F.contains(whole, F.lit("\n"))
-    shaped = whole.rlike(CAPTION) | (~whole.rlike(SENTENCES) & (lines | ((F.char_length(whole) <= 80) & ~whole.rlike(r", (?!\d{4}$)")))))
+    shaped = whole.rlike(CAPTION) | (~whole.rlike(SENTENCES) & (lines | ((F.char_length(whole) <= 80) & ~whole.rlike(r", (?!\d{4}$)"))))
     kind = F.lower(F.col(block)) if block else F.lit(None).cast("string")
     brief = F.when(F.coalesce(kind, F.lit("")) == "", shaped).otherwise(kind.isin("title", "caption", "list"))
     truncated = F.coalesce(whole != "", F.lit(False)) & (marked | (open_end & (F.col("_at") | ~brief)))
