@@ -3,13 +3,51 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..sources.tables import table
+from ..operators.units import bounded
+from ..sources.tables import listed, own_names, present, table
+from .canonical import canonicalize, mine_aliases
 from .encode import encode, round_trip_losses
 from .packing import fill_report, overfull, pack
+from .spellings import link_spellings, variant_pairs
 from .truncation import flag_truncated, truncation_report
 
 
+def linked_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Each spelling with the company that it stands for."""
+    companies = table(spark, folder, "company_industry")
+    both = companies.select(F.col("stock_id").cast("string").alias("entity"), F.explode(F.array("company_name_ch", "company_name_en")).alias("name")).filter("entity IS NOT NULL").distinct()
+    sectors = [r[0] for r in bounded(companies.select("sector").filter(present("sector")).distinct(), 2_000, "sectors")]
+    names = table(spark, folder, "environment_info").select(F.col("company_name").alias("name")).unionByName(table(spark, folder, "test_text_info").select(F.col("company_name").alias("name")))
+    return link_spellings(names, both, sectors)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Each pair of different spellings of one company."""
+    return variant_pairs(linked_names(spark, folder))
+
+
+def p2_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """Each spelling, the company it stands for and how sure that is."""
+    return linked_names(spark, folder)
+
+
+def _canonical(spark: SparkSession, folder: str) -> DataFrame:
+    facts, schema = table(spark, folder, "environment_info"), table(spark, folder, "metric_schema")
+    entries = {r.own_name: list(r.synonyms) for r in bounded(own_names(schema).select("own_name", "synonyms"), 20_000, "metric_schema")}
+    known = listed(facts.select("metric", "target_metric", "company_name"), schema)
+    aliases = mine_aliases(known.select(F.col("metric").alias("value"), F.col("target_metric").alias("entry"), F.col("company_name").alias("who")), entries)
+    unlisted = F.coalesce(~F.col("target_metric").isin(list(entries)), F.lit(True))
+    rows = facts.select("id", "target_metric", "metric").filter(unlisted & (present("target_metric") | present("metric")))
+    return canonicalize(rows, ["target_metric", "metric"], entries, aliases)
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Each row that isn't listed but names something, with the metric it means or 'unmatched'."""
+    return _canonical(spark, folder).select("id", F.col("canonical").alias("target_metric"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """The token ids of each document by byte_bpe_50k."""
     return encode(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "ids")
@@ -49,5 +87,5 @@ def p9_report(spark: SparkSession, folder: str) -> DataFrame:
     return truncation_report(_flagged(spark, folder))
 
 
-QUERIES = {"p7_ids": p7_ids, "p7_losses": p7_losses, "p8_packed": p8_packed, "p8_fill": p8_fill, "p8_overfull": p8_overfull, "p9_found": p9_found, "p9_report": p9_report}
+QUERIES = {"p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p7_ids": p7_ids, "p7_losses": p7_losses, "p8_packed": p8_packed, "p8_fill": p8_fill, "p8_overfull": p8_overfull, "p9_found": p9_found, "p9_report": p9_report}
 SQL: dict[str, str] = {"p7_losses": "SELECT doc_id FROM documents WHERE false", "p8_overfull": "SELECT container_id, 0::BIGINT AS bin, 0::BIGINT AS tokens, capacity_tokens FROM token_container WHERE false"}
