@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.years import calendar_year
+from ..operators.company_keys import company_of
+from ..operators.spikes import flag_implausible
 from ..operators.units import bounded, convert_units, misconverted
 from ..operators.wide import conflicting_cells, stitch
 from ..sources.tables import listed, own_names, present, table
@@ -40,7 +43,34 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return misconverted(facts, table(spark, folder, "metric_schema"), table(spark, folder, "unit_reference"), table(spark, folder, "fx_rate"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_wide": p1_wide, "p4_found": p4_found, "p4_converted": p4_converted}
+def companies(spark: SparkSession, folder: str) -> DataFrame:
+    """`name`, `entity`: the company of each spelling among the facts."""
+    registry = table(spark, folder, "company_industry")
+    both = registry.select(F.col("stock_id").cast("string").alias("entity"), F.explode(F.array("company_name_ch", "company_name_en")).alias("name")).filter("entity IS NOT NULL").distinct()
+    sectors = [r[0] for r in bounded(registry.select("sector").filter(present("sector")).distinct(), 2_000, "sectors")]
+    return company_of(table(spark, folder, "environment_info").select(F.col("company_name").alias("name")), both, sectors)
+
+
+def _judged(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    facts, schema = table(spark, folder, "environment_info"), table(spark, folder, "metric_schema")
+    shares = {r[0]: 100.0 for r in bounded(own_names(schema).filter("common_unit = '%'").select("own_name"), 10_000, "metric_schema")}
+    rows = listed(facts.select("id", "company_name", "target_metric", calendar_year("year").alias("year"), "converted_value"), schema)
+    rows = rows.filter("converted_value IS NOT NULL AND year IS NOT NULL").join(companies(spark, folder).withColumnRenamed("name", "company_name"), "company_name")
+    return rows, flag_implausible(rows, ["entity", "target_metric"], "year", "converted_value", shares, "target_metric")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Each listed row whose stored converted_value is implausible for its company and metric."""
+    rows, points = _judged(spark, folder)
+    return rows.join(points, ["entity", "target_metric", "year", "converted_value"], "left_semi").select("id")
+
+
+def p6_points(spark: SparkSession, folder: str) -> DataFrame:
+    """The implausible points of each company's series and why they are so."""
+    return _judged(spark, folder)[1]
+
+
+QUERIES = {"p6_found": p6_found, "p6_points": p6_points, "p1_found": p1_found, "p1_wide": p1_wide, "p4_found": p4_found, "p4_converted": p4_converted}
 SQL = {
     "p1_found": """
         SELECT company_name, year, target_metric FROM environment_info
