@@ -135,11 +135,11 @@ def link_spellings(spellings: DataFrame, registry: DataFrame | None, sectors: li
     owners = registered.groupBy("form", "kind", "sector", "tokens", "grams").agg(F.min("entity").alias("entity"), F.count_distinct("entity").alias("n")).filter("n = 1").drop("n")
     owners = cut(owners)
     checked = verify(propose(forms, owners.drop("entity")), _weights(owners)).join(owners.select(F.col("form").alias("partner"), "entity"), "partner")
-    per_entity = checked.filter(F.col("alike") >= ALIKE).groupBy("form", "entity").agg(F.max("alike").alias("alike"))
+    per_entity = cut(checked.filter(F.col("alike") >= ALIKE).groupBy("form", "entity").agg(F.max("alike").alias("alike")))
     ranked = per_entity.withColumn("_next", F.lead("alike", 1, 0.0).over(Window.partitionBy("form").orderBy(F.desc("alike"), "entity"))).withColumn("_rank", F.row_number().over(Window.partitionBy("form").orderBy(F.desc("alike"), "entity")))
     owned = cut(ranked.filter((F.col("_rank") == 1) & (F.col("alike") >= F.col("_next") + MARGIN)).select("form", "entity", "alike"))
     near_some = per_entity.select("form").distinct()
-    loose = forms.join(near_some, "form", "left_anti")
+    loose = cut(forms.join(near_some, "form", "left_anti"))
     own = verify(propose(loose, loose), _weights(loose)).filter((F.col("alike") >= ALIKE) & (F.col("form") != F.col("partner")))
     labels = components(own.select(F.col("form").alias("a"), F.col("partner").alias("b")))
     entity = F.coalesce(F.col("entity"), F.concat(F.lit("form:"), F.coalesce("label", "form")))

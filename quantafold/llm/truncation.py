@@ -9,20 +9,23 @@ from pyspark.sql import functions as F
 # sentence ends, marks of a cut, abbreviations whose full stop may stand before another.
 BLANKS = " \t\r\n\f            ​   　﻿"
 TRAILER = (
-    r"(?:\([^()]*\)|（[^（）]*）|\[[^\[\]]*\]|<(\w+)[^<>]*>[^<>]*</\1>|</?\w+\s*/?>|&\w+;"
-    r"|Unit: \S+(?: \S+){0,3}|[—–] End of \w+)\s*$"
+    r"(?:\([^()]{0,200}\)|（[^（）]{0,200}）|\[[^\[\]]{0,200}\]|<(\w{1,20})[^<>]{0,100}>[^<>]{0,100}</\1>|</?\w{1,20} ?/?>|&\w{1,20};"
+    r"|Unit: \S{1,30}(?: \S{1,30}){0,3}|[—–] End of \w{1,40})$"
 )
 ENDED = r"[.!?。！？][\"'”’»」』)\]）]*$"
-CUT_MARK = r"(?:…|\.\.+|\[(?:truncated|cut|more)\])\s*$"
+CUT_MARK = r"(?:…|\.\.|\[(?:truncated|cut|more)\])$"
 ABBREVIATED = r"(?i)\b(?:kg|kgs|ltd|co|inc|no|approx|incl|etc|sq|cu|st)\.\.$"
 CAPTION = r"^\s*(?:Figure|Fig\.|Table|Chart|Exhibit|Graph|Tableau|Graphique|Tabela|Quadro|Gráfico|圖|图|表|圖表)\s*\d"
 SENTENCES = r"[a-zà-ÿ0-9)%][.!?]\s+[A-ZÀ-Þ\"“]|[。！？]"
 
 
 def _ending(text: Column) -> Column:
-    """The text without trailing blanks and trailing notes."""
+    """The end of the text without trailing blanks and up to four trailing notes.
+
+    A note has at most 250 characters, so the last 1500 hold the end of the last sentence.
+    """
     blanks = F.lit(BLANKS)
-    end = F.rtrim(text, blanks)
+    end = F.right(F.rtrim(text, blanks), F.lit(1500))
     for _ in range(4):
         end = F.rtrim(F.regexp_replace(end, TRAILER, ""), blanks)
     return end
@@ -76,7 +79,8 @@ def flag_truncated(texts: DataFrame, text: str = "text", source: str = "source",
     at_limit = F.coalesce(F.char_length(t) == F.col("_characters"), F.lit(False)) | F.coalesce(F.octet_length(t) == F.col("_bytes"), F.lit(False))
     whole = F.rtrim(t, F.lit(BLANKS))
     ending = _ending(t)
-    marked = whole.rlike(CUT_MARK) & ~whole.rlike(ABBREVIATED)
+    last = F.right(whole, F.lit(40))
+    marked = last.rlike(CUT_MARK) & ~last.rlike(ABBREVIATED)
     open_end = ~ending.rlike(ENDED)
     lines = F.contains(whole, F.lit("\n"))
     shaped = whole.rlike(CAPTION) | (~whole.rlike(SENTENCES) & (lines | ((F.char_length(whole) <= 80) & ~whole.rlike(r", (?!\d{4}$)"))))
