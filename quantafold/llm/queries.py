@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.years import calendar_year
 from ..operators.units import bounded
 from ..sources.tables import listed, own_names, present, table
 from .canonical import canonicalize, mine_aliases
 from .encode import encode, round_trip_losses
 from .packing import fill_report, overfull, pack
 from .spellings import link_spellings, variant_pairs
+from .survivors import choose_survivors, filled, fuse, upload_times
 from .truncation import flag_truncated, truncation_report
 
 
@@ -48,6 +50,28 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return _canonical(spark, folder).select("id", F.col("canonical").alias("target_metric"))
 
 
+def _survivors(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    facts = table(spark, folder, "environment_info")
+    rows = listed(facts, table(spark, folder, "metric_schema")).filter(present("company_name") & present("year"))
+    uploads = upload_times(table(spark, folder, "pdffiles"))
+    scored = rows.withColumn("_filled", filled(facts.columns)).withColumn("_year", calendar_year("year"))
+    slim = scored.select("id", "company_name", "_year", "target_metric", "document_id", "metric", "_filled", "similar_score", "table_score")
+    named = slim.join(linked_names(spark, folder).select(F.col("name").alias("company_name"), "entity"), "company_name").drop("company_name")
+    dated = named.join(uploads, "document_id", "left")
+    return facts, choose_survivors(dated, ["entity", "_year", "target_metric"], ["_filled", "similar_score", "table_score", "uploaded"])
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The surviving row of each fact that several rows state."""
+    return _survivors(spark, folder)[1].select("group_id", "id")
+
+
+def p5_fused(spark: SparkSession, folder: str) -> DataFrame:
+    """The surviving records, bundle by bundle."""
+    facts, survivors = _survivors(spark, folder)
+    return fuse(facts, survivors)
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """The token ids of each document by byte_bpe_50k."""
     return encode(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "ids")
@@ -87,5 +111,5 @@ def p9_report(spark: SparkSession, folder: str) -> DataFrame:
     return truncation_report(_flagged(spark, folder))
 
 
-QUERIES = {"p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p7_ids": p7_ids, "p7_losses": p7_losses, "p8_packed": p8_packed, "p8_fill": p8_fill, "p8_overfull": p8_overfull, "p9_found": p9_found, "p9_report": p9_report}
+QUERIES = {"p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p5_found": p5_found, "p5_fused": p5_fused, "p7_ids": p7_ids, "p7_losses": p7_losses, "p8_packed": p8_packed, "p8_fill": p8_fill, "p8_overfull": p8_overfull, "p9_found": p9_found, "p9_report": p9_report}
 SQL: dict[str, str] = {"p7_losses": "SELECT doc_id FROM documents WHERE false", "p8_overfull": "SELECT container_id, 0::BIGINT AS bin, 0::BIGINT AS tokens, capacity_tokens FROM token_container WHERE false"}
