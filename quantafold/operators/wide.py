@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
+from ..session import cut
+
 _SPARK = {"double": DoubleType(), "bigint": LongType(), "string": StringType()}
 _NUMPY = {"double": np.float64, "bigint": np.int64, "string": object}
 _ARROW = {"double": pa.float64(), "bigint": pa.int64(), "string": pa.string()}
@@ -140,3 +142,17 @@ def stitch(rows: DataFrame, keys: list[str], attribute: str, value: str, columns
 def conflicting_cells(wide: DataFrame, keys: list[str], attribute: str) -> DataFrame:
     """The cells of a stitched table that are not single-valued: *keys* and *attribute*."""
     return wide.select(*keys, F.explode("conflicts").alias(attribute))
+
+
+def dense_ids(rows: DataFrame, key: str, name: str, buckets: int | None = None) -> DataFrame:
+    """The distinct values of *key*, not null, in order, numbered from 0 without gaps.
+
+    Range partitions hold the values in order; a count per partition gives each its first number, so
+    that no single task sees all values.
+    """
+    buckets = buckets or max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    values = cut(rows.filter(F.col(key).isNotNull()).select(key).distinct().repartitionByRange(buckets, key).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id()))
+    counts = values.groupBy("_part").agg(F.count("*").alias("_n"))
+    firsts = counts.withColumn("_first", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n"))  # one row per partition
+    local = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
+    return values.withColumn("_local", local).join(F.broadcast(firsts), "_part").select(key, (F.col("_first") + F.col("_local")).alias(name))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import core_problems
+from . import analytics, core_problems, texts, windows
 
 _MODULES = (core_problems,)
-QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
-SQL = {name: s for m in _MODULES for name, s in m.SQL.items()}
+_REGISTERS = (analytics.queries, texts.queries, windows.queries)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()} | {name: f for r in _REGISTERS for name, f in r.queries.items()}
+SQL = {name: s for m in _MODULES for name, s in m.SQL.items()} | {name: s for r in _REGISTERS for name, s in r.sql.items()}
