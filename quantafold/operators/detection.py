@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes as B
+from .grouped import per_group
 
 
 def suppress(detections: DataFrame, page: list[str], threshold: float = 0.5, criterion: str = "iou") -> DataFrame:
@@ -19,24 +20,24 @@ def suppress(detections: DataFrame, page: list[str], threshold: float = 0.5, cri
     than *threshold*: by 'iou', or as the share of the lesser box, 'iob'. A page's boxes go to one
     task; a page holds what fits on paper.
     """
-    columns = detections.columns
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "obj_id"], ascending=[False, True], kind="stable")
-        b = np.array([[r["x0"], r["y0"], r["x1"], r["y1"]] for r in pdf["box"]], float).reshape(-1, 4)
-        kept: list[int] = []
-        for k in range(len(b)):
-            if kept:
-                o = b[kept]
-                inter = np.clip(np.minimum(o[:, 2], b[k, 2]) - np.maximum(o[:, 0], b[k, 0]), 0, None) * np.clip(np.minimum(o[:, 3], b[k, 3]) - np.maximum(o[:, 1], b[k, 1]), 0, None)
-                mine = max(b[k, 2] - b[k, 0], 0) * max(b[k, 3] - b[k, 1], 0)
-                base = mine + (o[:, 2] - o[:, 0]) * (o[:, 3] - o[:, 1]) - inter if criterion == "iou" else np.full(len(o), mine)
-                if (np.divide(inter, base, out=np.zeros_like(inter), where=base > 0) > threshold).any():
-                    continue
-            kept.append(k)
-        return pdf.iloc[kept][columns]
-
-    return detections.groupBy(*page).applyInPandas(run, detections.schema)
+    at, score, name = (detections.columns.index(c) for c in ("box", "score", "obj_id"))
+
+    def run(rows: list[tuple]) -> list[tuple]:
+        kept: list[tuple] = []
+        for row in sorted(rows, key=lambda r: (-r[score], r[name])):
+            b = row[at]
+            mine = max(b["x1"] - b["x0"], 0) * max(b["y1"] - b["y0"], 0)
+            for other in kept:
+                o = other[at]
+                inter = max(0, min(o["x1"], b["x1"]) - max(o["x0"], b["x0"])) * max(0, min(o["y1"], b["y1"]) - max(o["y0"], b["y0"]))
+                base = mine + (o["x1"] - o["x0"]) * (o["y1"] - o["y0"]) - inter if criterion == "iou" else mine
+                if base > 0 and inter / base > threshold:
+                    break
+            else:
+                kept.append(row)
+        return kept
+
+    return per_group(detections, page, ["obj_id"], run, detections.schema)
 
 
 def overlapping_pairs(a: DataFrame, b: DataFrame, page: list[str], measure: Callable[[str, str], Column] = B.iou, least: float = 0.0) -> DataFrame:
@@ -108,7 +109,7 @@ def average_precision(rows: DataFrame, category: str, score: str, hit: str, orde
     Precision at a recall is the best from there on (its envelope).
     """
     w = Window.partitionBy(category).orderBy(F.desc(score), *order)
-    run = rows.withColumn("tp", F.sum(hit).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("k", F.row_number().over(w)).join(F.broadcast(positives), category)
+    run = rows.withColumn("tp", F.sum(hit).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("k", F.row_number().over(w)).join(positives, category)
     run = run.withColumn("recall", F.col("tp") / F.col("n")).withColumn("precision", F.col("tp") / F.col("k"))
     run = run.withColumn("best", F.max("precision").over(w.rowsBetween(0, Window.unboundedFollowing))).withColumn("step", F.col("recall") - F.coalesce(F.lag("recall").over(w), F.lit(0.0)))
     return run.groupBy(category).agg(F.sum(F.col("best") * F.col("step")).alias("ap"))
@@ -147,13 +148,11 @@ def match_sets(predicted: DataFrame, truth: DataFrame, page: str, weights: tuple
     p = predicted.select(page, F.lit(0).alias("side"), "obj_id", "box")
     both = p.unionByName(truth.select(page, F.lit(1).alias("side"), "obj_id", "box"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["side", "obj_id"])
-        b = np.array([[r["x0"], r["y0"], r["x1"], r["y1"]] for r in pdf["box"]], float).reshape(-1, 4)
-        a, t = b[pdf["side"] == 0], b[pdf["side"] == 1]
-        ids, tids = pdf[pdf["side"] == 0]["obj_id"].tolist(), pdf[pdf["side"] == 1]["obj_id"].tolist()
-        if not len(a) or not len(t):
-            return pd.DataFrame(columns=[page, "obj_id", "truth_id", "cost"])
+    def run(rows: list[tuple]) -> list[tuple]:
+        first, second = ([(r[2], [r[3][c] for c in ("x0", "y0", "x1", "y1")]) for r in rows if r[1] == side] for side in (0, 1))
+        if not first or not second:
+            return []
+        a, t = np.array([b for _, b in first]), np.array([b for _, b in second])
         lo, hi = np.maximum(a[:, None, :2], t[None, :, :2]), np.minimum(a[:, None, 2:], t[None, :, 2:])
         inter = np.clip(hi - lo, 0, None).prod(2)
         size = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
@@ -161,10 +160,10 @@ def match_sets(predicted: DataFrame, truth: DataFrame, page: str, weights: tuple
         whole = (np.maximum(a[:, None, 2:], t[None, :, 2:]) - np.minimum(a[:, None, :2], t[None, :, :2])).prod(2)
         giou = inter / np.maximum(union, 1e-9) - (whole - union) / np.maximum(whole, 1e-9)
         costs = weights[0] * np.abs(a[:, None] - t[None]).sum(2) / 1000 - weights[1] * giou
-        return pd.DataFrame([(pdf[page].iloc[0], ids[i], tids[j], float(costs[i, j])) for i, j in assign(costs)], columns=[page, "obj_id", "truth_id", "cost"])
+        return [(rows[0][0], first[i][0], second[j][0], float(costs[i, j])) for i, j in assign(costs)]
 
     kinds = dict(predicted.dtypes)
-    return both.groupBy(page).applyInPandas(run, f"`{page}` {kinds[page]}, obj_id {kinds['obj_id']}, truth_id {kinds['obj_id']}, cost double")
+    return per_group(both, [page], ["side", "obj_id"], run, f"`{page}` {kinds[page]}, obj_id {kinds['obj_id']}, truth_id {kinds['obj_id']}, cost double")
 
 
 def recall_at(matched: DataFrame, total: int, thresholds: list[float]) -> DataFrame:

@@ -268,7 +268,7 @@ def synonym_units(spark, d):
     """Each fact's unit by the dictionary's synonyms; of entries that share one the last counts."""
     words = table(spark, d, "metric_schema").select("id", "unit", F.explode(F.from_json("metric", "array<string>")).alias("metric"))
     last = words.groupBy("metric").agg(F.max_by("unit", "id").alias("schema_unit"))
-    return table(spark, d, "environment_info").select("id", "metric").join(F.broadcast(last), "metric", "left").select("id", "schema_unit")
+    return table(spark, d, "environment_info").select("id", "metric").join(last, "metric", "left").select("id", "schema_unit")
 
 
 @queries("metric_members", "SELECT id FROM environment_info WHERE target_metric IN (SELECT json_extract_string(metric, '$[0]') FROM metric_schema)")

@@ -90,7 +90,7 @@ def document_kind(spark, d):
 @queries("edit_distance", "SELECT DISTINCT a.event_type AS a, b.event_type AS b, levenshtein(a.event_type, b.event_type) AS distance FROM events a, (SELECT DISTINCT event_type FROM events) b WHERE levenshtein(a.event_type, b.event_type) <= 5")
 def edit_distance(spark, d):
     kinds = table(spark, d, "events").select("event_type").distinct()
-    pairs = kinds.select(F.col("event_type").alias("a")).join(F.broadcast(kinds.select(F.col("event_type").alias("b"))), F.levenshtein("a", "b") <= 5)
+    pairs = kinds.select(F.col("event_type").alias("a")).join(kinds.select(F.col("event_type").alias("b")), F.levenshtein("a", "b") <= 5)
     return pairs.select("a", "b", F.levenshtein("a", "b").cast("bigint").alias("distance"))
 
 
@@ -162,14 +162,14 @@ def dates(spark, d):
 def si_convert(spark, d):
     units = table(spark, d, "unit_reference")
     to = units.select("dimension", F.col("unit").alias("to_unit"), F.col("factor").alias("to_factor"))
-    return units.join(F.broadcast(to), "dimension").select("unit", "to_unit", F.round(F.col("factor") / F.col("to_factor"), 9).alias("multiplier"))
+    return units.join(to, "dimension").select("unit", "to_unit", F.round(F.col("factor") / F.col("to_factor"), 9).alias("multiplier"))
 
 
 @queries("currency_year_end", """SELECT e.id, round(e.converted_value / f.hkd_per_unit, 4) AS usd FROM environment_info e JOIN fx_rate f ON f.currency = 'USD' AND f.rate_year = TRY_CAST(nullif(regexp_extract(e.year, '[0-9]{4}', 0), '') AS INT) WHERE e.converted_unit = 'HKD' AND abs(e.converted_value) < 1e9""")
 def currency_year_end(spark, d):
     rates = table(spark, d, "fx_rate").filter("currency = 'USD'")
     facts = table(spark, d, "environment_info").filter("converted_unit = 'HKD' AND abs(converted_value) < 1e9").withColumn("y", calendar_year("year"))
-    return facts.join(F.broadcast(rates), F.col("y") == F.col("rate_year")).select("id", F.round(F.col("converted_value") / F.col("hkd_per_unit"), 4).alias("usd"))
+    return facts.join(rates, F.col("y") == F.col("rate_year")).select("id", F.round(F.col("converted_value") / F.col("hkd_per_unit"), 4).alias("usd"))
 
 
 @queries("mask_prompt", "SELECT p_partkey, '<mask> ' || array_to_string(string_split(p_name, ' '), ' <mask> ') || ' <mask>' AS prompt FROM part")

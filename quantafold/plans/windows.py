@@ -171,7 +171,7 @@ def repeat_factor(spark, d):
     pairs = table(spark, d, "events").select("user_id", "event_type").distinct()
     total = pairs.agg(F.count_distinct("user_id").alias("all"))
     rare = pairs.groupBy("event_type").agg(F.count("*").alias("n")).join(F.broadcast(total)).select("event_type", (F.col("n") / F.col("all")).alias("f"))
-    return pairs.join(F.broadcast(rare), "event_type").groupBy("user_id").agg(F.round(F.max(F.greatest(F.lit(1.0), F.sqrt(F.lit(0.99) / F.col("f")))), 6).alias("factor"))
+    return pairs.join(rare, "event_type").groupBy("user_id").agg(F.round(F.max(F.greatest(F.lit(1.0), F.sqrt(F.lit(0.99) / F.col("f")))), 6).alias("factor"))
 
 
 @queries("tumbling", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

@@ -42,4 +42,4 @@ def own_names(schema: DataFrame) -> DataFrame:
 
 def listed(facts: DataFrame, schema: DataFrame) -> DataFrame:
     """The facts whose target_metric, exactly as written, is some metric's own name."""
-    return facts.join(F.broadcast(own_names(schema).select(F.col("own_name").alias("target_metric"))), "target_metric", "left_semi")
+    return facts.join(own_names(schema).select(F.col("own_name").alias("target_metric")), "target_metric", "left_semi")
