@@ -171,10 +171,10 @@ def fill_report(packed: DataFrame, containers: DataFrame) -> DataFrame:
     """Per container kind: bins, tokens packed, and the share of all space that is filled."""
     per_bin = packed.groupBy("container_id", "bin").agg(F.sum("tokens").alias("t"))
     per = per_bin.groupBy("container_id").agg(F.count("*").alias("bins"), F.sum("t").alias("tokens"))
-    return per.join(F.broadcast(containers.select("container_id", "capacity_tokens")), "container_id").withColumn("filled", F.round(F.col("tokens") / (F.col("bins") * F.col("capacity_tokens")), 6))
+    return per.join(containers.select("container_id", "capacity_tokens"), "container_id").withColumn("filled", F.round(F.col("tokens") / (F.col("bins") * F.col("capacity_tokens")), 6))
 
 
 def overfull(packed: DataFrame, containers: DataFrame) -> DataFrame:
     """Bins that hold more than their capacity; none if the packing is right."""
     per_bin = packed.groupBy("container_id", "bin").agg(F.sum("tokens").alias("tokens"))
-    return per_bin.join(F.broadcast(containers.select("container_id", "capacity_tokens")), "container_id").filter("tokens > capacity_tokens")
+    return per_bin.join(containers.select("container_id", "capacity_tokens"), "container_id").filter("tokens > capacity_tokens")
