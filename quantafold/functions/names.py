@@ -59,7 +59,7 @@ def _shortens(short: str, word: str) -> bool:
     if word.startswith(short) and len(short) >= 3:
         return True
     rest = iter(word)
-    return all(c in rest for c in short) and not any(c in "aeiou" for c in short[1:-1])
+    return all(c in rest for c in short) and not any(c in "aeiou" for c in short[1:])
 
 
 class NameReader:

@@ -147,11 +147,9 @@ def convert_units(facts: DataFrame, schema: DataFrame, units: DataFrame, rates:
     Cases: target_metric null or unlisted -> null value, 'no common unit'; no number in value ->
     'no number'; unit missing and none in value or behind the metric's name -> 'no unit'; a unit of
     another dimension -> 'other dimension'; a foreign amount without year or rate -> 'no rate'.
-    Repeated rows are each converted. Further columns are kept; columns of the new names raise.
+    Repeated rows are each converted. Further columns are kept; those of the new names are replaced.
     """
-    clash = {f"{prefix}{n}" for n in RESULT.names} & set(facts.columns)
-    if clash:
-        raise ValueError(f"facts already has {sorted(clash)}")
+    facts = facts.drop(*[f"{prefix}{n}" for n in RESULT.names])
     metrics = {r.own_name: (list(r.synonyms), r.common_unit, r.density) for r in bounded(own_names(schema).select("own_name", "synonyms", "common_unit", "density"), 20_000, "metric_schema")}
     unit_rows = [tuple(r) for r in bounded(units.select("unit", "factor", "common_unit"), 20_000, "unit_reference")]
     rate_rows = {(r[0], r[1]): r[2] for r in bounded(rates.select("currency", "rate_year", "hkd_per_unit"), 20_000, "fx_rate")}
@@ -167,7 +165,7 @@ def convert_units(facts: DataFrame, schema: DataFrame, units: DataFrame, rates:
             yield pd.DataFrame([one(*x) for x in zip(value, unit, metric, target, years, strict=True)], columns=RESULT.names)
 
     made = convert("value", "unit", "metric", "target_metric", calendar_year("year"))
-    return facts.withColumn("_made", made).select(*[F.col(f"`{c}`") for c in facts.columns], *[F.col(f"_made.{n}").alias(f"{prefix}{n}") for n in RESULT.names])
+    return facts.withColumn("_quantafold_made", made).select(*[F.col(f"`{c}`") for c in facts.columns], *[F.col(f"_quantafold_made.{n}").alias(f"{prefix}{n}") for n in RESULT.names])
 
 
 def misconverted(facts: DataFrame, schema: DataFrame, units: DataFrame, rates: DataFrame, tolerance: float = 0.01) -> DataFrame:

@@ -49,16 +49,20 @@ def stitch(rows: DataFrame, keys: list[str], attribute: str, value: str, columns
 
     Cases: null keys make an entity of their own (null is a key like others); null, NaN and, for
     typed columns, values that can't be cast are no values; repeated rows count once; an empty table
-    gives no rows; attributes never met give null columns. Column names of *keys*, `ordinal`,
-    `conflicts` that are also attributes raise ValueError.
+    gives no rows; attributes never met give null columns; further columns are left out. An attribute
+    named, case aside, as a key, `ordinal`, `conflicts` or an attribute before it gets `_value` behind its
+    column's name.
     """
-    clash = set(columns) & {*keys, "ordinal", "conflicts"}
-    if clash:
-        raise ValueError(f"attributes named as other columns: {sorted(clash)}")
     if len(columns) > 10_000:
         raise ValueError("more than 10,000 attributes; keep such a table long")
     buckets = buckets or max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     names, kinds = list(columns), [columns[c] for c in columns]
+    headings: list[str] = []
+    for name in names:
+        taken = {h.lower() for h in (*keys, "ordinal", "conflicts", *headings)}
+        while name.lower() in taken:
+            name += "_value"
+        headings.append(name)
     number = F.element_at(F.create_map(*[x for k, c in enumerate(names) for x in (F.lit(c), F.lit(k))]), F.col(attribute)) if len(names) < 200 else None
     picked = rows.filter(F.col(attribute).isin(names)).select(*keys, F.col(attribute).alias("_attribute"), F.col(value).alias("_value"))
     if number is None:
@@ -82,7 +86,7 @@ def stitch(rows: DataFrame, keys: list[str], attribute: str, value: str, columns
     placed = _ordinals(cells, keys, buckets).select("_bucket", "_ordinal", *keys, "_place", "_low", "_several")
     ordered = placed.repartition(buckets, "_bucket").sortWithinPartitions("_bucket", "_ordinal")
     key_fields = [f for k in keys for f in cells.schema.fields if f.name == k]
-    out = StructType([StructField("ordinal", LongType()), *[StructField(f.name, f.dataType) for f in key_fields], *[StructField(n, _SPARK[k]) for n, k in zip(names, kinds, strict=True)], StructField("conflicts", ArrayType(StringType()))])
+    out = StructType([StructField("ordinal", LongType()), *[StructField(f.name, f.dataType) for f in key_fields], *[StructField(n, _SPARK[k]) for n, k in zip(headings, kinds, strict=True)], StructField("conflicts", ArrayType(StringType()))])
     key_count = len(keys)
 
     def write(first: int, ordinals: np.ndarray, keyed: list[pa.Array], places: np.ndarray, values: np.ndarray, several: np.ndarray) -> pa.RecordBatch:
