@@ -62,15 +62,13 @@ def encode(texts: DataFrame, text: str = "text", name: str = DEFAULT, folder: st
     Null and empty texts give an empty list. With *offsets* there's also `<output>_offsets`: per
     token start and end in characters, as the tokenizer gives them (the tokens of a character that
     is split share its range). One narrow pass over Arrow batches, in steps of *batch_chars*
-    characters so that memory doesn't follow the length of a batch. Further columns are kept; columns
-    of the new names raise ValueError.
+    characters so that memory doesn't follow the length of a batch. Repeated rows are each encoded; an
+    empty table gives no rows; further columns are kept, those of the new names replaced.
     """
     added = [StructField(output, ArrayType(IntegerType()))]
     if offsets:
         added.append(StructField(f"{output}_offsets", ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))))
-    clash = {f.name for f in added} & set(texts.columns)
-    if clash:
-        raise ValueError(f"texts already has {sorted(clash)}")
+    texts = texts.drop(*[f.name for f in added if f.name.lower() != text.lower()])
     out = StructType([*texts.schema.fields, *added])
     place = texts.columns.index(text)
     pairs = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -140,11 +138,10 @@ def decode(encoded: DataFrame, ids: str = "ids", name: str = DEFAULT, folder: st
     """All rows with *output*, the text of the ids by the reversed byte table.
 
     A character that is split over tokens is whole again, as bytes are joined before they're read.
-    An empty or null list gives the empty string; ids that the vocabulary lacks raise ValueError;
+    An empty or null list gives the empty string; a column named *output* is replaced; ids that the vocabulary lacks raise ValueError;
     bytes that are no UTF-8 (a cut list) become U+FFFD.
     """
-    if output in encoded.columns:
-        raise ValueError(f"encoded already has {output}")
+    encoded = encoded.drop(output)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokenizer(name, folder)

@@ -65,18 +65,16 @@ def flag_truncated(texts: DataFrame, text: str = "text", source: str = "source",
 
     Cases: null, empty and blank texts aren't truncated; a null source is a source of its own; a
     source of few texts has no spike and is judged by endings alone; repeated rows are each judged;
-    very long texts are measured whole, their ends judged. Columns named `at_limit` or `truncated`
-    in *texts* raise ValueError. Only the limits (two rows per source) are joined.
+    very long texts are measured whole, their ends judged; an empty table gives no rows; columns named
+    `at_limit` or `truncated` are replaced. Only the limits (two rows per source) are joined.
     """
-    clash = {"at_limit", "truncated"} & set(texts.columns)
-    if clash:
-        raise ValueError(f"texts already has {sorted(clash)}")
+    texts = texts.drop("at_limit", "truncated")
     t = F.col(text)
-    limits = length_limits(texts, text, source).groupBy("limit_source").agg(
-        F.max(F.when(F.col("limit_kind") == "characters", F.col("limit"))).alias("_characters"), F.max(F.when(F.col("limit_kind") == "bytes", F.col("limit"))).alias("_bytes")
+    limits = length_limits(texts, text, source).withColumnRenamed("limit_source", "_quantafold_source").groupBy("_quantafold_source").agg(
+        F.max(F.when(F.col("limit_kind") == "characters", F.col("limit"))).alias("_quantafold_characters"), F.max(F.when(F.col("limit_kind") == "bytes", F.col("limit"))).alias("_quantafold_bytes")
     )
-    joined = texts.join(limits, F.col(source).eqNullSafe(F.col("limit_source")), "left")
-    at_limit = F.coalesce(F.char_length(t) == F.col("_characters"), F.lit(False)) | F.coalesce(F.octet_length(t) == F.col("_bytes"), F.lit(False))
+    joined = texts.join(limits, F.col(source).eqNullSafe(F.col("_quantafold_source")), "left")
+    at_limit = F.coalesce(F.char_length(t) == F.col("_quantafold_characters"), F.lit(False)) | F.coalesce(F.octet_length(t) == F.col("_quantafold_bytes"), F.lit(False))
     whole = F.rtrim(t, F.lit(BLANKS))
     ending = _ending(t)
     last = F.right(whole, F.lit(40))
@@ -86,8 +84,8 @@ def flag_truncated(texts: DataFrame, text: str = "text", source: str = "source",
     shaped = whole.rlike(CAPTION) | (~whole.rlike(SENTENCES) & (lines | ((F.char_length(whole) <= 80) & ~whole.rlike(r", (?!\d{4}$)"))))
     kind = F.lower(F.col(block)) if block else F.lit(None).cast("string")
     brief = F.when(F.coalesce(kind, F.lit("")) == "", shaped).otherwise(kind.isin("title", "caption", "list"))
-    truncated = F.coalesce(whole != "", F.lit(False)) & (marked | (open_end & (F.col("_at") | ~brief)))
-    return joined.withColumn("_at", at_limit).select(*[F.col(f"`{c}`") for c in texts.columns], F.col("_at").alias("at_limit"), F.coalesce(truncated, F.lit(False)).alias("truncated"))
+    truncated = F.coalesce(whole != "", F.lit(False)) & (marked | (open_end & (F.col("_quantafold_at") | ~brief)))
+    return joined.withColumn("_quantafold_at", at_limit).select(*[F.col(f"`{c}`") for c in texts.columns], F.col("_quantafold_at").alias("at_limit"), F.coalesce(truncated, F.lit(False)).alias("truncated"))
 
 
 def truncation_report(flagged: DataFrame, source: str = "source") -> DataFrame:
