@@ -80,10 +80,10 @@ def match_bands(predicted: DataFrame, truth: DataFrame, page: list[str], low: fl
 
 def precision_recall(predicted: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
     """Multiset precision, recall and F over tuples: `tp`, `fp`, `fn`, `precision`, `recall`, `f1`."""
-    p = predicted.groupBy(*keys).agg(F.count("*").alias("p"))
-    t = truth.groupBy(*keys).agg(F.count("*").alias("t"))
-    both = p.join(t, keys, "full").select(F.coalesce("p", F.lit(0)).alias("p"), F.coalesce("t", F.lit(0)).alias("t"))
-    s = both.agg(F.sum(F.least("p", "t")).alias("tp"), F.sum("p").alias("np"), F.sum("t").alias("nt"))
+    p = predicted.groupBy(*keys).agg(F.count("*").alias("_predicted"))
+    t = truth.groupBy(*keys).agg(F.count("*").alias("_true"))
+    both = p.join(t, keys, "full").select(F.coalesce("_predicted", F.lit(0)).alias("_predicted"), F.coalesce("_true", F.lit(0)).alias("_true"))
+    s = both.agg(F.sum(F.least("_predicted", "_true")).alias("tp"), F.sum("_predicted").alias("np"), F.sum("_true").alias("nt"))
     made = s.select("tp", (F.col("np") - F.col("tp")).alias("fp"), (F.col("nt") - F.col("tp")).alias("fn"), F.coalesce(F.try_divide("tp", "np"), F.lit(0.0)).alias("precision"), F.coalesce(F.try_divide("tp", "nt"), F.lit(0.0)).alias("recall"))
     return made.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
 

@@ -76,8 +76,8 @@ def form_words(forms: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV files with a header, quotes doubled, empty strings kept apart from null."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", '""').csv(path)
+    """CSV files with a header and doubled quotes; null and the empty string are both read back as null."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

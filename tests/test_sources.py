@@ -10,7 +10,7 @@ from quantafold.sources.tables import listed, own_names
 def test_csv_and_json(spark, tmp_path):
     df = spark.createDataFrame([(1, "a, \"b\"\nc", "")], "id int, t string, e string")
     write_csv(df, str(tmp_path / "x.csv"))
-    assert [tuple(r) for r in read(spark, str(tmp_path / "x.csv"), emptyValue="").collect()] == [(1, "a, \"b\"\nc", "")]
+    assert [tuple(r) for r in read(spark, str(tmp_path / "x.csv")).collect()] == [(1, "a, \"b\"\nc", None)]
     write_json(df, str(tmp_path / "x.ndjson"))
     assert read(spark, str(tmp_path / "x.ndjson"), "id int, t string").collect()[0].t == "a, \"b\"\nc"
     (tmp_path / "bom.csv").write_text("﻿id,name\n1,x\n", encoding="utf-8")
