@@ -64,10 +64,11 @@ def track_frame(state: dict, frame: int, boxes: list[tuple[int, list[float]]], t
     return {"tracks": {k: t for k, t in tracks.items() if frame - t["frame"] <= most_lost}, "next": following}, out
 
 
-def track(frames: DataFrame, threshold: float = 0.5, most_lost: int = 2) -> DataFrame:
+def track(frames: DataFrame, threshold: float = 0.5, most_lost: int = 2, idle_ms: int | None = None) -> DataFrame:
     """Track ids over a stream of boxes: video, frame, box_id, x0, y0, x1, y1 -> video, frame, box_id, track_id.
 
-    Keyed state per video holds the live tracks only; videos that stay silent for an hour are dropped.
+    Keyed state per video holds the live tracks only. With *idle_ms* videos that stay silent for so long
+    are dropped; that needs a query that goes on, as an availableNow query with such a timeout never ends.
     """
     import json
 
@@ -84,7 +85,8 @@ def track(frames: DataFrame, threshold: float = 0.5, most_lost: int = 2) -> Data
             held, found = track_frame(held, int(frame), boxes, threshold, most_lost)
             out += [(key[0], int(frame), b, t) for b, t in found]
         state.update((json.dumps(held),))
-        state.setTimeoutDuration(3_600_000)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["video", "frame", "box_id", "track_id"])
 
-    return frames.groupBy("video").applyInPandasWithState(run, "video bigint, frame bigint, box_id bigint, track_id bigint", "held string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return frames.groupBy("video").applyInPandasWithState(run, "video bigint, frame bigint, box_id bigint, track_id bigint", "held string", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
