@@ -140,8 +140,10 @@ def link_spellings(spellings: DataFrame, registry: DataFrame | None, sectors: li
     owned = cut(ranked.filter((F.col("_rank") == 1) & (F.col("alike") >= F.col("_next") + MARGIN)).select("form", "entity", "alike"))
     near_some = per_entity.select("form").distinct()
     loose = cut(forms.join(near_some, "form", "left_anti"))
-    own = verify(propose(loose, loose), _weights(loose)).filter((F.col("alike") >= ALIKE) & (F.col("form") != F.col("partner")))
-    labels = components(own.select(F.col("form").alias("a"), F.col("partner").alias("b")))
+    labels = spellings.sparkSession.createDataFrame([], "node string, label string")
+    if not loose.isEmpty():
+        own = verify(propose(loose, loose), _weights(loose)).filter((F.col("alike") >= ALIKE) & (F.col("form") != F.col("partner")))
+        labels = components(own.select(F.col("form").alias("a"), F.col("partner").alias("b")))
     entity = F.coalesce(F.col("entity"), F.concat(F.lit("form:"), F.coalesce("label", "form")))
     joined = read.select("name", "form").filter("form <> '||'").join(owned, "form", "left").join(labels.withColumnRenamed("node", "form"), "form", "left")
     return joined.select("name", entity.alias("entity"), F.coalesce("alike", F.lit(1.0)).alias("alike"))
