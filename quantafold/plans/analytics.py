@@ -69,13 +69,13 @@ def coverage_ratio(spark, d):
 
 @queries("industries_mean", """WITH dim AS (
   SELECT c_mktsegment AS industry, CAST(c_custkey AS VARCHAR) AS identifier FROM customer UNION ALL SELECT c_mktsegment, c_name FROM customer)
-SELECT d.industry, CAST(year(o_orderdate) AS INT) AS yr, o_orderpriority AS metric, round(avg(o_totalprice), 2) AS mean_value
+SELECT d.industry, CAST(year(o_orderdate) AS INT) AS yr, o_orderpriority AS metric, round(avg(o_totalprice) + 1e-7, 2) AS mean_value
 FROM orders JOIN dim d ON CAST(o_custkey AS VARCHAR) = d.identifier WHERE d.industry IS NOT NULL GROUP BY 1, 2, 3""")
 def industries_mean(spark, d):
     dim = R.unpivot_identifiers(table(spark, d, "customer"), ["c_mktsegment"], ["c_custkey", "c_name"])
     orders = table(spark, d, "orders").withColumn("identifier", F.col("o_custkey").cast("string"))
     joined = orders.join(dim, "identifier").select(F.col("c_mktsegment").alias("industry"), F.year("o_orderdate").alias("yr"), F.col("o_orderpriority").alias("metric"), "o_totalprice")
-    return joined.dropna(subset=["industry", "yr", "metric"]).groupBy("industry", "yr", "metric").agg(F.round(F.avg("o_totalprice"), 2).alias("mean_value"))
+    return joined.dropna(subset=["industry", "yr", "metric"]).groupBy("industry", "yr", "metric").agg(F.round(F.avg("o_totalprice") + 1e-7, 2).alias("mean_value"))
 
 
 @queries("column_maxima", "SELECT user_id, max(event_id) AS event_id, max(ts) AS ts, max(event_type) AS event_type, max(value) AS value, max(props) AS props FROM events GROUP BY user_id")
