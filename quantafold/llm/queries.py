@@ -55,10 +55,10 @@ def _survivors(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     rows = listed(facts, table(spark, folder, "metric_schema")).filter(present("company_name") & present("year"))
     uploads = upload_times(table(spark, folder, "pdffiles"))
     scored = rows.withColumn("_filled", filled(facts.columns)).withColumn("_year", calendar_year("year"))
-    slim = scored.select("id", "company_name", "_year", "target_metric", "document_id", "metric", "_filled", "similar_score", "table_score")
+    slim = scored.select("id", "company_name", "_year", "target_metric", "document_id", "_filled", "similar_score", "table_score")
     named = slim.join(linked_names(spark, folder).select(F.col("name").alias("company_name"), "entity"), "company_name").drop("company_name")
-    dated = named.join(uploads, "document_id", "left")
-    return facts, choose_survivors(dated, ["entity", "_year", "target_metric"], ["_filled", "similar_score", "table_score", "uploaded"])
+    dated = named.join(uploads, "document_id", "left").drop("document_id")
+    return facts, choose_survivors(dated, ["entity", "_year", "target_metric"], ["_filled", "similar_score", "table_score", "uploaded"], fields=facts)
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
