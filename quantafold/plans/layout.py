@@ -201,32 +201,32 @@ NORM = "sqrt(list_dot_product({0}.embedding, {0}.embedding))"
 COS = "(list_dot_product(a.embedding, b.embedding) / (sqrt(list_dot_product(a.embedding, a.embedding)) * sqrt(list_dot_product(b.embedding, b.embedding))))"
 
 
-@queries("cosine_best", f"""WITH b AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0) SELECT a.vec_id, arg_max(b.vec_id, (round({COS}, 5), -b.vec_id)) AS best FROM embeddings a JOIN b ON a.vec_id <> b.vec_id GROUP BY 1""")
+@queries("cosine_best", f"""WITH b AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0) SELECT b.vec_id, arg_max(a.vec_id, (round({COS}, 5), -a.vec_id)) AS best FROM embeddings a JOIN b ON a.vec_id <> b.vec_id GROUP BY 1""")
 def cosine_best(spark, d):
-    """Each vector's nearest among the reference vectors (every 20th), as a stated query set."""
+    """The nearest of all vectors to each of a stated query set, those whose id is divisible by 20."""
     vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
-    return best_matches(vectors, vectors.filter("vec_id % 20 = 0"), "vec_id", "embedding").select("vec_id", "best")
+    return best_matches(vectors.filter("vec_id % 20 = 0"), vectors, "vec_id", "embedding").select("vec_id", "best")
 
 
-@queries("cosine_top3", f"""WITH b AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0) SELECT vec_id, list(g ORDER BY c DESC, g) AS matches FROM (SELECT a.vec_id, b.vec_id AS g, round({COS}, 5) AS c FROM embeddings a JOIN b ON a.vec_id <> b.vec_id WHERE {COS} >= 0.2 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY c DESC, g) <= 3) GROUP BY 1""")
+@queries("cosine_top3", f"""WITH b AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0) SELECT vec_id, list(g ORDER BY c DESC, g) AS matches FROM (SELECT b.vec_id, a.vec_id AS g, round({COS}, 5) AS c FROM embeddings a JOIN b ON a.vec_id <> b.vec_id WHERE {COS} >= 0.2 QUALIFY row_number() OVER (PARTITION BY b.vec_id ORDER BY c DESC, g) <= 3) GROUP BY 1""")
 def cosine_top3(spark, d):
     vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
-    return top_matches(vectors, vectors.filter("vec_id % 20 = 0"), "vec_id", "embedding", 0.2, 3)
+    return top_matches(vectors.filter("vec_id % 20 = 0"), vectors, "vec_id", "embedding", 0.2, 3)
 
 
-@queries("group_cosine", f"""WITH b AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0), g AS (SELECT a.vec_id, b.label AS lab, max({COS}) AS c FROM embeddings a JOIN b ON a.vec_id <> b.vec_id GROUP BY 1, 2) SELECT vec_id, arg_max(lab, (round(c, 5), -lab)) AS label FROM g GROUP BY 1""")
+@queries("group_cosine", f"""WITH b AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0), g AS (SELECT b.vec_id, a.label AS lab, max({COS}) AS c FROM embeddings a JOIN b ON a.vec_id <> b.vec_id GROUP BY 1, 2) SELECT vec_id, arg_max(lab, (round(c, 5), -lab)) AS label FROM g GROUP BY 1""")
 def group_cosine(spark, d):
     """The group whose nearest member is nearest."""
-    a = table(spark, d, "embeddings").select("vec_id", "embedding")
-    b = table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("other"), F.col("embedding").alias("ref"), F.col("label"))
+    a = table(spark, d, "embeddings").filter("vec_id % 20 = 0").select("vec_id", "embedding")
+    b = table(spark, d, "embeddings").select(F.col("vec_id").alias("other"), F.col("embedding").alias("ref"), F.col("label"))
     scored = a.join(b, F.col("vec_id") != F.col("other")).groupBy("vec_id", "label").agg(F.max(cosine("embedding", "ref")).alias("c"))
     return scored.groupBy("vec_id").agg(F.max_by("label", F.struct(F.round("c", 5), -F.col("label"))).alias("label"))
 
 
-@queries("topic_scores", f"""WITH t AS (SELECT * FROM embeddings WHERE vec_id % 50 = 0) SELECT b.vec_id AS topic, round(greatest(max({COS}), 0), 5) AS score FROM t b JOIN embeddings a ON a.vec_id <> b.vec_id GROUP BY 1""")
+@queries("topic_scores", f"""WITH t AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0) SELECT b.vec_id AS topic, round(greatest(max({COS}), 0), 5) AS score FROM t b JOIN embeddings a ON a.vec_id <> b.vec_id GROUP BY 1""")
 def topic_scores(spark, d):
     """How well each topic's seed is covered by any vector."""
-    seeds = table(spark, d, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("topic"), F.col("embedding").alias("seed"))
+    seeds = table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("topic"), F.col("embedding").alias("seed"))
     pairs = table(spark, d, "embeddings").join(seeds, F.col("vec_id") != F.col("topic"))
     return pairs.groupBy("topic").agg(F.round(F.greatest(F.max(cosine("embedding", "seed")), F.lit(0.0)), 5).alias("score"))
 
