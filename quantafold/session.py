@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,9 @@ def cut(df: DataFrame) -> DataFrame:
 
     Only where the session names no folder and runs in one process (tests, a laptop) is a
     temporary folder taken; on a cluster without the setting an error is raised.
+
+    The driver then collects its garbage, on which Spark removes the shuffle files of plans that are no
+    longer held; else they'd stay on the executors' disks until the driver happens to do so.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -38,4 +42,7 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="quantafold-")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    made = df.checkpoint(eager=True)
+    gc.collect()
+    context._jvm.System.gc()
+    return made
