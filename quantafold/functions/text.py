@@ -144,8 +144,11 @@ def document_kind(filename: str | Column) -> Column:
 
 
 def split_sentences(column: str | Column) -> Column:
-    """Sentences, parted behind . ! ? or 。 ！ ？ (a rule, not a trained model)."""
-    return F.filter(F.split(F.regexp_replace(_c(column), r"([.!?])\s+|([。！？])", "$1$2\u0001"), "\u0001"), lambda s: F.trim(s) != "")
+    """Sentences, parted behind . ! ? and white space of any kind, or behind 。 ！ ？ (a rule, not a trained model).
+
+    Pieces of nothing but white space, zero-width characters included, are no sentences; a null text has a null list.
+    """
+    return F.filter(F.split(_c(column), r"(?U)(?<=[.!?])\s+|(?<=[。！？])"), lambda s: s.rlike(r"(?U)[^\s\u200b\ufeff]"))
 
 
 def roman(column: str | Column) -> Column:

@@ -96,7 +96,8 @@ def edit_distance(spark, d):
 
 @queries("sentence_counts", "SELECT doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?])\\s+|([。！？])', '\\1\\2\x01', 'g'), '\x01'), lambda s: trim(s) <> '')) AS sentences FROM documents WHERE regexp_matches(text, '^[ -~]+$')")
 def sentence_counts(spark, d):
-    return table(spark, d, "documents").filter(F.col("text").rlike("^[ -~]+$")).select("doc_id", F.size(T.split_sentences("text")).cast("bigint").alias("sentences"))
+    """Sentences of every document; null for a null text, 0 for an empty or blank one."""
+    return table(spark, d, "documents").select("doc_id", F.array_size(T.split_sentences("text")).cast("bigint").alias("sentences"))
 
 
 @queries("tokens_exploded", """SELECT word, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM documents) WHERE word <> '' GROUP BY word""")
