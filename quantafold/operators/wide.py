@@ -35,12 +35,13 @@ def _ordinals(cells: DataFrame, keys: list[str], buckets: int) -> DataFrame:
     return ranked.withColumn("_ordinal", F.element_at(F.array(*[F.lit(s).cast("bigint") for s in starts]), F.col("_bucket") + 1) + F.col("_local") - 1)
 
 
-def stitch(rows: DataFrame, keys: list[str], attribute: str, value: str, columns: dict[str, str], buckets: int | None = None, span: int = 4096) -> DataFrame:
+def stitch(rows: DataFrame, keys: list[str], attribute: str, value: str, columns: dict[str, str], buckets: int | None = None, span: int = 4096, every: bool = False) -> DataFrame:
     """One row per entity: `ordinal`, the *keys*, one typed column per attribute, `conflicts`.
 
     columns: attribute -> 'double', 'bigint' or 'string'. A cell of two or more different values gets
     the smallest, and its attribute stands in `conflicts` (an array in order of the columns, empty if
-    none). Rows of other attributes are left out; entities without any row of *columns* too.
+    none). Rows of other attributes are left out; entities without any value in *columns* too, unless
+    *every* is set: then each distinct combination of the keys has a row, of nulls where it has no value.
 
     Positional stitching: entities get global ordinals; within each range of *span* ordinals every
     attribute is written as one typed column at the positions of its entities, and the columns are put
@@ -64,10 +65,12 @@ def stitch(rows: DataFrame, keys: list[str], attribute: str, value: str, columns
             name += "_value"
         headings.append(name)
     number = F.element_at(F.create_map(*[x for k, c in enumerate(names) for x in (F.lit(c), F.lit(k))]), F.col(attribute)) if len(names) < 200 else None
-    picked = rows.filter(F.col(attribute).isin(names)).select(*keys, F.col(attribute).alias("_attribute"), F.col(value).alias("_value"))
+    picked = rows.select(*keys, F.col(attribute).alias("_attribute"), F.col(value).alias("_value"))
+    if not every:
+        picked = picked.filter(F.col("_attribute").isin(names))
     if number is None:
         places = rows.sparkSession.createDataFrame(list(enumerate(names)), "_place int, _attribute string")
-        picked = picked.join(F.broadcast(places), "_attribute")
+        picked = picked.join(F.broadcast(places), "_attribute", "left")
     else:
         picked = picked.withColumn("_place", F.element_at(F.create_map(*[x for k, c in enumerate(names) for x in (F.lit(c), F.lit(k))]), F.col("_attribute")))
     one_type = len(set(kinds)) == 1
@@ -81,8 +84,13 @@ def stitch(rows: DataFrame, keys: list[str], attribute: str, value: str, columns
                 picked = picked.withColumn("_value", F.when(F.col("_place").isin(at), F.col("_value").try_cast(kind).cast("string")).otherwise(F.col("_value")))
     if one_type and kinds[0] == "double":
         picked = picked.withColumn("_value", F.nanvl("_value", F.lit(None).cast("double")))
-    cells = picked.filter(F.col("_value").isNotNull()).groupBy(*keys, "_place").agg(F.min("_value").alias("_low"), F.max("_value").alias("_high"))
-    cells = cells.select(*keys, "_place", "_low", (F.col("_low") != F.col("_high")).alias("_several"))
+    full = F.col("_value").isNotNull() & F.col("_place").isNotNull()
+    if every:  # what fills no cell stands at place -1, which is no column's, and keeps its entity
+        picked = picked.select(*keys, F.when(full, F.col("_place")).otherwise(-1).alias("_place"), F.when(full, F.col("_value")).alias("_value"))
+    else:
+        picked = picked.filter(full)
+    cells = picked.groupBy(*keys, "_place").agg(F.min("_value").alias("_low"), F.max("_value").alias("_high"))
+    cells = cells.select(*keys, "_place", "_low", F.coalesce(F.col("_low") != F.col("_high"), F.lit(False)).alias("_several"))
     placed = _ordinals(cells, keys, buckets).select("_bucket", "_ordinal", *keys, "_place", "_low", "_several")
     ordered = placed.repartition(buckets, "_bucket").sortWithinPartitions("_bucket", "_ordinal")
     key_fields = [f for k in keys for f in cells.schema.fields if f.name == k]

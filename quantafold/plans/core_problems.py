@@ -13,16 +13,16 @@ from ..operators.wide import conflicting_cells, stitch
 from ..sources.tables import listed, own_names, present, table
 
 
-def _wide(spark: SparkSession, folder: str) -> DataFrame:
+def _wide(spark: SparkSession, folder: str, every: bool = False) -> DataFrame:
     facts, schema = table(spark, folder, "environment_info"), table(spark, folder, "metric_schema")
     names = sorted(r[0] for r in bounded(own_names(schema).select("own_name"), 10_000, "metric_schema"))
     rows = facts.select("company_name", "year", "target_metric", "converted_value").filter(present("company_name") & present("year"))
-    return stitch(rows, ["company_name", "year"], "target_metric", "converted_value", dict.fromkeys(names, "double"))
+    return stitch(rows, ["company_name", "year"], "target_metric", "converted_value", dict.fromkeys(names, "double"), every=every)
 
 
 def p1_wide(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per company and year with a number column for each metric."""
-    return _wide(spark, folder).drop("ordinal")
+    """One row per company and year with a number column for each metric, of nulls where no listed value is stated."""
+    return _wide(spark, folder, every=True).drop("ordinal")
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
