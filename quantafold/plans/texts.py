@@ -23,7 +23,8 @@ def parse_number(spark, d):
 @queries("percent_scale", """SELECT id, round(converted_value * CASE WHEN regexp_matches(unit, '^(?:%|％|pct|per ?cent)$') THEN 0.01::DOUBLE WHEN regexp_matches(unit, '^(?:‰|per mille)$') THEN 0.001::DOUBLE ELSE 1.0::DOUBLE END, 6) AS fraction
 FROM environment_info WHERE abs(converted_value) < 1e6""")
 def percent_scale(spark, d):
-    return table(spark, d, "environment_info").filter("abs(converted_value) < 1e6").select("id", F.round(T.share_scale("converted_value", "unit"), 6).alias("fraction"))
+    """The quantity of every row as a fraction where its unit is a share; null where it has none."""
+    return table(spark, d, "environment_info").select("id", F.round(T.share_scale("converted_value", "unit"), 6).alias("fraction"))
 
 
 @queries("unit_words", """SELECT id, (CASE WHEN regexp_matches(lower(unit), '\\bhundred\\b') THEN 100.0 ELSE 1.0 END * CASE WHEN regexp_matches(lower(unit), '\\bthousand\\b') THEN 1000.0 ELSE 1.0 END
@@ -168,8 +169,9 @@ def si_convert(spark, d):
 
 @queries("currency_year_end", """SELECT e.id, round(e.converted_value / f.hkd_per_unit, 4) AS usd FROM environment_info e JOIN fx_rate f ON f.currency = 'USD' AND f.rate_year = TRY_CAST(nullif(regexp_extract(e.year, '[0-9]{4}', 0), '') AS INT) WHERE e.converted_unit = 'HKD' AND abs(e.converted_value) < 1e9""")
 def currency_year_end(spark, d):
+    """Amounts of any size in HKD at the rate of their year; null for a missing amount."""
     rates = table(spark, d, "fx_rate").filter("currency = 'USD'")
-    facts = table(spark, d, "environment_info").filter("converted_unit = 'HKD' AND abs(converted_value) < 1e9").withColumn("y", calendar_year("year"))
+    facts = table(spark, d, "environment_info").filter("converted_unit = 'HKD'").withColumn("y", calendar_year("year"))
     return facts.join(rates, F.col("y") == F.col("rate_year")).select("id", F.round(F.col("converted_value") / F.col("hkd_per_unit"), 4).alias("usd"))
 
 

@@ -1,5 +1,7 @@
 """Queries over whole tables: rows that a filter once left out."""
 
+import math
+
 from quantafold.plans import registry
 
 
@@ -17,3 +19,23 @@ def test_sentence_counts_of_every_text(spark, tmp_path):
     ]
     got = run(spark, tmp_path, "sentence_counts", documents=([(k, t) for k, (t, _) in enumerate(texts)], "doc_id bigint, text string"))
     assert {r.doc_id: r.sentences for r in got} == {k: n for k, (_, n) in enumerate(texts)}
+
+
+def close(a, b):
+    return a == b if a is None or b is None else math.isclose(a, b, rel_tol=1e-12, abs_tol=1e-6)
+
+
+def test_shares_of_all_sizes(spark, tmp_path):
+    facts = [(1, 5.0, "%", 0.05), (2, 2.5e6, "tonnes", 2.5e6), (3, -3e7, "pct", -3e5), (4, 123456789012.5, None, 123456789012.5), (5, 1e6, "‰", 1e3), (6, None, "%", None), (7, 0.0, "kWh", 0.0)]
+    got = run(spark, tmp_path, "percent_scale", environment_info=([f[:3] for f in facts], "id bigint, converted_value double, unit string"))
+    assert len(got) == len(facts) and {r.id for r in got} == {f[0] for f in facts}
+    assert all(close(r.fraction, {f[0]: f[3] for f in facts}[r.id]) for r in got)
+
+
+def test_amounts_of_all_sizes(spark, tmp_path):
+    facts = [(1, 780.0, "HKD", "2020", 100.0), (2, 7.8e11, "HKD", "FY2020", 1e11), (3, -7.75e9, "HKD", "2021", -1e9), (4, 1e9, "HKD", "2020", 1e9 / 7.8), (5, None, "HKD", "2020", None)]
+    others = [(8, 5.0, "kWh", "2020"), (9, 5.0, "HKD", "1950")]
+    rates = [("USD", 2020, 7.8), ("USD", 2021, 7.75), ("CNY", 2020, 1.1)]
+    got = run(spark, tmp_path, "currency_year_end", environment_info=([f[:4] for f in facts] + others, "id bigint, converted_value double, converted_unit string, year string"), fx_rate=(rates, "currency string, rate_year int, hkd_per_unit double"))
+    assert len(got) == len(facts) and {r.id for r in got} == {f[0] for f in facts}
+    assert all(math.isclose(r.usd, want, rel_tol=1e-12, abs_tol=1e-4) if want is not None else r.usd is None for r in got for want in [{f[0]: f[4] for f in facts}[r.id]])
