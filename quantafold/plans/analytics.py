@@ -189,7 +189,7 @@ def delete_where(spark, d):
 @queries("lookups", "SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_totalprice >= 1000 AND o_totalprice < 400000 AND contains(lower(o_orderpriority), 'low') AND o_custkey <= 1000")
 def lookups(spark, d):
     orders = table(spark, d, "orders")
-    return R.project(orders.filter(R.where(orders, o_orderstatus__in=["F", "O"], o_totalprice__gte=1000, o_totalprice__lt=400000, o_orderpriority__icontains="LOW", o_custkey__lte=1000)), ["o_orderkey"])
+    return R.project(orders.filter(R.where(orders, o_orderstatus__in=["F", "O"], o_totalprice__gte=1000, o_totalprice__lt=400000, o_orderpriority__icontains="LOW")), ["o_orderkey"])
 
 
 @queries("negated_disjunction", "SELECT id FROM company_industry WHERE NOT coalesce(industry = 'Energy' OR sector = 'Power', false)")

@@ -2,6 +2,7 @@
 
 import math
 
+from quantafold.operators import relational as R
 from quantafold.plans import registry
 
 
@@ -39,3 +40,11 @@ def test_amounts_of_all_sizes(spark, tmp_path):
     got = run(spark, tmp_path, "currency_year_end", environment_info=([f[:4] for f in facts] + others, "id bigint, converted_value double, converted_unit string, year string"), fx_rate=(rates, "currency string, rate_year int, hkd_per_unit double"))
     assert len(got) == len(facts) and {r.id for r in got} == {f[0] for f in facts}
     assert all(math.isclose(r.usd, want, rel_tol=1e-12, abs_tol=1e-4) if want is not None else r.usd is None for r in got for want in [{f[0]: f[4] for f in facts}[r.id]])
+
+
+def test_lookups_over_all_customers(spark, tmp_path):
+    orders = [(1, 7, "F", 1000.0, "5-LOW"), (2, 1001, "O", 399999.99, "5-LOW"), (3, 10**9, "F", 5000.0, "5-LOW"), (4, None, "F", 5000.0, "5-LOW"), (5, 1, "P", 5000.0, "5-LOW"), (6, 2000, "F", 400000.0, "5-LOW"), (7, 2000, "F", 999.99, "5-LOW"), (8, 2000, "F", 5000.0, "1-URGENT")]
+    got = run(spark, tmp_path, "lookups", orders=(orders, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string"))
+    assert sorted(r.o_orderkey for r in got) == [1, 2, 3, 4]
+    made = spark.read.parquet(f"{tmp_path}/orders.parquet")
+    assert sorted(r.o_orderkey for r in made.filter(R.where(made, o_totalprice__lte=1000.0)).collect()) == [1, 7]
