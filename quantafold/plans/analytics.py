@@ -307,10 +307,13 @@ def derived_if_unreported(spark, d):
 @queries("file_status", """SELECT document_id, arg_max(status, process1_update_date) AS status, max(process1_progress) AS progress FROM pdffiles WHERE process1_update_date IS NOT NULL GROUP BY document_id
 HAVING count(*) = count(DISTINCT process1_update_date)""")
 def file_status(spark, d):
-    """The state of each document after its latest run, where runs can be told apart by time."""
-    runs = table(spark, d, "pdffiles").filter("process1_update_date IS NOT NULL").groupBy("document_id")
-    made = runs.agg(F.max_by("status", "process1_update_date").alias("status"), F.max("process1_progress").alias("progress"), F.count("*").alias("n"), F.count_distinct("process1_update_date").alias("t"))
-    return made.filter("n = t").select("document_id", "status", "progress")
+    """The state of each document after its latest run and the most that any run reached.
+
+    Runs of the same time go by the second process' time, the last time and the status; nulls come first, so runs
+    without a time count only where a document has no other.
+    """
+    latest = F.struct("process1_update_date", "process2_update_date", "last_process_date", "status")
+    return table(spark, d, "pdffiles").groupBy("document_id").agg(F.max_by("status", latest).alias("status"), F.max("process1_progress").alias("progress"))
 
 
 @queries("upload_list", "SELECT document_id, max(filename) AS filename, strftime(max(uploaded_date), '%Y-%m-%d %H:%M:%S') AS uploaded FROM pdffiles GROUP BY document_id")

@@ -1,5 +1,6 @@
 """Queries over whole tables: rows that a filter once left out."""
 
+import datetime
 import math
 
 from quantafold.operators import relational as R
@@ -48,3 +49,20 @@ def test_lookups_over_all_customers(spark, tmp_path):
     assert sorted(r.o_orderkey for r in got) == [1, 2, 3, 4]
     made = spark.read.parquet(f"{tmp_path}/orders.parquet")
     assert sorted(r.o_orderkey for r in made.filter(R.where(made, o_totalprice__lte=1000.0)).collect()) == [1, 7]
+
+
+def test_status_of_every_document(spark, tmp_path):
+    t = [None, *[datetime.datetime(2020, 1, k) for k in range(1, 5)]]
+    runs = [  # document, process 1, process 2, last, progress, status
+        ("repeated", t[1], t[2], t[2], 100.0, "completed"), ("repeated", t[1], t[2], t[2], 100.0, "completed"),
+        ("second", t[1], None, t[1], 40.0, "uploaded"), ("second", t[1], t[2], t[2], 30.0, "completed"),
+        ("by status", t[1], None, t[1], 40.0, "processing"), ("by status", t[1], None, t[1], 40.0, "uploaded"), ("by status", t[1], None, t[1], 40.0, None),
+        ("latest", t[3], None, t[3], 40.0, "error"), ("latest", t[2], t[4], t[4], 100.0, "completed"), ("latest", t[2], t[4], t[4], 100.0, "completed"),
+        ("no time", None, None, None, None, "uploaded"), ("some time", None, None, None, 50.0, "uploaded"), ("some time", t[1], None, t[1], 40.0, "processing"),
+        ("null last", t[2], None, t[2], 40.0, None), ("null last", t[1], None, t[1], 40.0, "uploaded"),
+    ]
+    want = {"repeated": ("completed", 100.0), "second": ("completed", 40.0), "by status": ("uploaded", 40.0), "latest": ("error", 100.0), "no time": ("uploaded", None), "some time": ("processing", 50.0), "null last": (None, 40.0)}
+    schema = "document_id string, process1_update_date timestamp_ntz, process2_update_date timestamp_ntz, last_process_date timestamp_ntz, process1_progress double, status string"
+    for order in (runs, runs[::-1]):
+        got = run(spark, tmp_path, "file_status", pdffiles=(order, schema))
+        assert len(got) == len(want) and {r.document_id: (r.status, r.progress) for r in got} == want
