@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -94,9 +95,11 @@ def choose_survivors(records: DataFrame, keys: list[str], criteria: list[str], i
 
     *criteria*: numbers or times, larger is better, null is least. *fields*: where the dependent fields of a
     record are looked up by its id (by default *records*), so that they needn't be carried along. Only a record that leads in some
-    criterion can add trust, so each group comes down to its leaders (at most one per criterion, ties
-    by the other criteria, then by the smallest id) in one aggregation with partial maxima, however
-    large the group. Where one record leads in all, it gives all bundles: the bound is met at the root.
+    criterion can add trust, so each group comes down to its leaders in one aggregation with partial
+    maxima, however large the group: for each set of criteria the record that leads in all of the set, if
+    there is one, ties by the other criteria in order, then by the smallest id. So the most trusted record
+    is always among them, whatever other rows tie for a criterion; 2^(n-1) maxima serve all sets of n
+    criteria. Where one record leads in all, it gives all bundles: the bound is met at the root.
     The other groups are branched over, a few records each.
 
     Cases: records with a null key are in no group; nulls in criteria count as least; records alike in
@@ -107,17 +110,18 @@ def choose_survivors(records: DataFrame, keys: list[str], criteria: list[str], i
     times = [F.coalesce(F.col(c).cast("double"), F.lit(float("-inf"))) for c in criteria]
     slim = records.dropna(subset=keys).select(*keys, id_, *[t.alias(f"_c{i}") for i, t in enumerate(times)])
     n = len(criteria)
-    turns = [[i, *[j for j in range(n) if j != i]] for i in range(n)]
-    leaders = [F.max(F.struct(*[F.col(f"_c{i}") for i in turn], (-F.col(id_)).alias("_id"))).alias(f"_l{turn[0]}") for turn in turns]
+    # an order serves the set of criteria that it begins with, with or without 0 behind it; those of one criterion come first
+    turns = [[*some, *[j for j in range(n) if j not in some]] for size in range(n) for some in combinations(range(1, n), size)]
+    leaders = [F.max(F.struct(*[F.col(f"_c{i}") for i in turn], (-F.col(id_)).alias("_id"))).alias(f"_l{k}") for k, turn in enumerate(turns)]
     groups = slim.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(id_).alias("group_id"), *leaders).filter("_n > 1")
-    groups = cut(groups)  # read twice
-    one = reduce(lambda a, b: a & b, [F.col("_l0._id") == F.col(f"_l{i}._id") for i in range(1, n)])
+    one = reduce(lambda a, b: a & b, [F.col("_l0._id") == F.col(f"_l{i}._id") for i in range(1, n)], F.lit(True))
+    several = F.array_distinct(F.array(*[F.struct(*[F.col(f"_l{k}._c{j}").alias(f"_c{j}") for j in range(n)], (-F.col(f"_l{k}._id")).alias("_rid")) for k in range(len(turns))]))
+    groups = cut(groups.select(*keys, "group_id", (-F.col("_l0._id")).alias("_first"), F.when(~one, several).alias("_several")))  # read twice
     names = list(rules.bundles)
-    plain = groups.filter(one).select(*keys, "group_id", (-F.col("_l0._id")).alias("id"), F.create_map(*[x for b in names for x in (F.lit(b), -F.col("_l0._id"))]).alias("sources"))
-    contested = groups.filter(~one).select(*keys, "group_id", F.explode(F.array_distinct(F.array(*[
-        F.struct(*[F.col(f"_l{i}._c{j}").alias(f"_c{j}") for j in range(n)], (-F.col(f"_l{i}._id")).alias("_rid")) for i in range(n)]))).alias("_r"))
+    plain = groups.filter("_several IS NULL").select(*keys, "group_id", F.col("_first").alias("id"), F.create_map(*[x for b in names for x in (F.lit(b), F.col("_first"))]).alias("sources"))
+    contested = groups.filter("_several IS NOT NULL").select(*keys, "group_id", F.explode("_several").alias("_r"))
     rows = contested.select(*keys, "group_id", "_r.*").join((records if fields is None else fields).select(F.col(id_).alias("_rid"), *needed), "_rid")
-    held = rows.groupBy(*keys, "group_id").agg(F.collect_list(F.struct("_rid", *[f"_c{j}" for j in range(n)], *needed)).alias("_rows"))  # at most one per criterion
+    held = rows.groupBy(*keys, "group_id").agg(F.collect_list(F.struct("_rid", *[f"_c{j}" for j in range(n)], *needed)).alias("_rows"))  # at most one per order
     types = dict(groups.dtypes)
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "group_id bigint", "id bigint", "sources map<string,bigint>"])
 

@@ -47,3 +47,19 @@ def test_fused_record_takes_whole_bundles(spark):
 def test_hot_group(spark):
     df = spark.range(20000).selectExpr("id", "'hot' AS k", "CAST(id % 7 AS INT) AS f", "CAST(id % 11 AS DOUBLE) AS s", "CAST(1 AS DOUBLE) AS t", "'d' AS document_id", "'m' AS metric")
     assert [(r.group_id, r.id) for r in choose_survivors(df, ["k"], ["f", "s", "t"]).collect()] == [(0, 76)]
+
+
+def test_most_leads_survive_ties_for_each_criterion(spark):
+    columns = "id bigint, k string, f int, s double, t double, u double, document_id string, metric string"
+    data = [(1, "a", 10, 1.0, 0.5, 0.5, "d", "m"), (2, "a", 10, 0.5, 1.0, 0.5, "d", "m"), (3, "a", 10, 0.5, 0.5, 1.0, "d", "m"), (4, "a", 9, 1.0, 1.0, 1.0, "e", "n")]
+    got = choose_survivors(spark.createDataFrame(data, columns), ["k"], ["f", "s", "t", "u"]).collect()
+    assert [(r.group_id, r.id, r.sources) for r in got] == [(1, 4, {"reading": 4, "place": 4, "match": 4})]
+    rng = random.Random(8)
+    data = [(i, str(i % 400), *(rng.choice([None, 1, 2, 3]) for _ in range(4)), rng.choice("de"), rng.choice("mn")) for i in range(3200)]
+    df = spark.createDataFrame([(*r[:3], *(x if x is None else float(x) for x in r[3:6]), *r[6:]) for r in data], columns)
+    want = {}
+    for k in {r[1] for r in data}:
+        group = [(r[0], [-1 if x is None else x for x in r[2:6]]) for r in data if r[1] == k]
+        most = [max(c[j] for _, c in group) for j in range(4)]
+        want[k] = max(group, key=lambda r: (sum(a == b for a, b in zip(r[1], most, strict=True)), r[1], -r[0]))[0]
+    assert {r.k: r.id for r in choose_survivors(df, ["k"], ["f", "s", "t", "u"]).collect()} == want
