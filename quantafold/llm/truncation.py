@@ -31,27 +31,41 @@ def _ending(text: Column) -> Column:
     return end
 
 
+def _widest(text: Column) -> Column:
+    """Bytes of the text's widest character in UTF-8, 1 to 4."""
+    return F.when(F.octet_length(text) == F.char_length(text), 1).when(text.rlike(r"[\x{10000}-\x{10FFFF}]"), 4).when(text.rlike(r"[\u0800-\uFFFF]"), 3).otherwise(2)
+
+
 def length_limits(texts: DataFrame, text: str, source: str, least: int = 3, share: float = 0.004, peak: float = 4.0) -> DataFrame:
     """Per source the lengths at which texts are cut: `limit_kind` ('characters' or 'bytes'), `limit`, `n`.
 
-    The largest length of a source is a spike where it holds at least *least* texts, *share* of the
-    source's texts, and *peak* times as many as the average length of the tenth below it. Two
-    aggregations with partial sums; what is shuffled is one row per source and length.
+    A length at the upper end of a source's histogram, with at most a quarter as many longer texts (strays) as
+    it holds itself, is a spike where it holds at least *least* texts, *share* of the source's texts, and
+    *peak* times as many as the average length of the tenth below it. A byte limit also holds the texts that
+    stop short of it by less than their widest character, as the next one may not have fitted; one that
+    holds fewer texts than the same number of characters is that limit seen in plain texts, and left out.
+    Aggregations with partial sums; what is shuffled is one row per source and length.
     """
     t = F.col(text)
     sized = texts.filter(t.isNotNull() & (F.rtrim(t, F.lit(BLANKS)) != "")).select(
-        F.col(source).alias("_source"), F.explode(F.array(F.struct(F.lit("characters").alias("kind"), F.char_length(t).alias("size")), F.struct(F.lit("bytes").alias("kind"), F.octet_length(t).alias("size")))).alias("_x")
+        F.col(source).alias("_source"), F.explode(F.array(F.struct(F.lit("characters").alias("kind"), F.char_length(t).alias("size"), F.lit(1).alias("widest")), F.struct(F.lit("bytes").alias("kind"), F.octet_length(t).alias("size"), _widest(t).alias("widest")))).alias("_x")
     )
-    histogram = sized.groupBy("_source", F.col("_x.kind").alias("limit_kind"), F.col("_x.size").alias("_size")).agg(F.count("*").alias("_n"))
+    wider = [F.count_if(F.col("_x.widest") > gap).alias(f"_wider{gap}") for gap in (1, 2, 3)]
+    histogram = sized.groupBy("_source", F.col("_x.kind").alias("limit_kind"), F.col("_x.size").cast("bigint").alias("_size")).agg(F.count("*").alias("_n"), *wider)
     per = Window.partitionBy("_source", "limit_kind")
-    placed = histogram.withColumn("_top", F.max("_size").over(per))
-    near = (F.col("_size") < F.col("_top")) & (F.col("_size") >= F.col("_top") * 0.9)
-    tops = placed.groupBy("_source", "limit_kind", "_top").agg(
-        F.sum(F.when(F.col("_size") == F.col("_top"), F.col("_n"))).alias("n"), F.sum("_n").alias("_all"), F.coalesce(F.sum(F.when(near, F.col("_n"))), F.lit(0)).alias("_near")
-    )
-    usual = F.col("_near") / F.greatest(F.col("_top") * 0.1, F.lit(1))
-    spike = (F.col("n") >= least) & (F.col("n") >= share * F.col("_all")) & (F.col("n") >= peak * usual)
-    return tops.filter(spike).select(F.col("_source").alias("limit_source"), "limit_kind", F.col("_top").alias("limit"), "n")
+    by_size = per.orderBy("_size")
+    short = sum((F.coalesce(F.sum(f"_wider{gap}").over(by_size.rangeBetween(-gap, -gap)), F.lit(0)) for gap in (1, 2, 3)), F.lit(0))
+    placed = histogram.withColumn("_short", short).withColumn("_all", F.sum("_n").over(per)).withColumn("_above", F.coalesce(F.sum("_n").over(by_size.rangeBetween(1, Window.unboundedFollowing)), F.lit(0)))
+    held = F.col("_n") + F.col("_short")
+    high = (held >= least) & (held >= share * F.col("_all")) & (held >= 4 * F.col("_above"))
+    # few lengths of a source are that high: each holds four times what lies above it
+    tops = placed.withColumn("_tops", F.collect_list(F.when(high, F.struct(F.col("_size").alias("limit"), held.alias("n"), F.col("_short").alias("short")))).over(per)).withColumn("_top", F.explode("_tops"))
+    near = (F.col("_size") < F.col("_top.limit")) & (F.col("_size") >= F.col("_top.limit") * 0.9)
+    below = tops.groupBy("_source", "limit_kind", "_top").agg(F.coalesce(F.sum(F.when(near, F.col("_n"))), F.lit(0)).alias("_near"))
+    usual = F.greatest(F.col("_near") - F.col("_top.short"), F.lit(0)) / F.greatest(F.col("_top.limit") * 0.1, F.lit(1))
+    spikes = below.filter(F.col("_top.n") >= peak * usual).select(F.col("_source").alias("limit_source"), "limit_kind", F.col("_top.limit").cast("int").alias("limit"), F.col("_top.n").alias("n"))
+    by_characters = F.max(F.when(F.col("limit_kind") == "characters", F.col("n"))).over(Window.partitionBy("limit_source", "limit"))
+    return spikes.withColumn("_by_characters", F.coalesce(by_characters, F.lit(0))).filter((F.col("n") >= F.col("_by_characters")) | (F.col("limit_kind") == "characters")).drop("_by_characters")
 
 
 def flag_truncated(texts: DataFrame, text: str = "text", source: str = "source", block: str | None = "block_element") -> DataFrame:
@@ -59,22 +73,25 @@ def flag_truncated(texts: DataFrame, text: str = "text", source: str = "source",
 
     A text is truncated if it ends in the middle of a word or sentence: it has a mark of a cut, or no
     sentence end once notes behind the last sentence are set aside. Texts at a spike of their source's
-    length histogram (in characters or bytes; see length_limits) are held to that whatever they are;
+    length histogram (in characters or bytes, or short of the bytes by less than a character; see
+    length_limits) are held to that whatever they are;
     below it titles, captions and list items, by *block* or where that is missing by their shape,
     are complete without a full stop, unless they bear a mark.
 
     Cases: null, empty and blank texts aren't truncated; a null source is a source of its own; a
     source of few texts has no spike and is judged by endings alone; repeated rows are each judged;
     very long texts are measured whole, their ends judged; an empty table gives no rows; columns named
-    `at_limit` or `truncated` are replaced. Only the limits (two rows per source) are joined.
+    `at_limit` or `truncated` are replaced. Only the limits (one row per source) are joined.
     """
     texts = texts.drop("at_limit", "truncated")
     t = F.col(text)
     limits = length_limits(texts, text, source).withColumnRenamed("limit_source", "_quantafold_source").groupBy("_quantafold_source").agg(
-        F.max(F.when(F.col("limit_kind") == "characters", F.col("limit"))).alias("_quantafold_characters"), F.max(F.when(F.col("limit_kind") == "bytes", F.col("limit"))).alias("_quantafold_bytes")
+        F.collect_set(F.when(F.col("limit_kind") == "characters", F.col("limit"))).alias("_quantafold_characters"), F.collect_set(F.when(F.col("limit_kind") == "bytes", F.col("limit"))).alias("_quantafold_bytes")
     )
     joined = texts.join(limits, F.col(source).eqNullSafe(F.col("_quantafold_source")), "left")
-    at_limit = F.coalesce(F.char_length(t) == F.col("_quantafold_characters"), F.lit(False)) | F.coalesce(F.octet_length(t) == F.col("_quantafold_bytes"), F.lit(False))
+    size = F.octet_length(t)
+    full = F.exists("_quantafold_bytes", lambda most: (size <= most) & (size > most - 4) & (size + _widest(t) > most))  # the next character may not have fitted
+    at_limit = F.coalesce(F.array_contains("_quantafold_characters", F.char_length(t)), F.lit(False)) | F.coalesce(full, F.lit(False))
     whole = F.rtrim(t, F.lit(BLANKS))
     ending = _ending(t)
     last = F.right(whole, F.lit(40))

@@ -103,3 +103,25 @@ def test_cut_texts(spark):
     report = {r.source: (r.texts, r.cut) for r in truncation_report(made).collect()}
     assert report["feed"] == (40, 40) and set(report) == {"feed", "other", None}
     assert flag_truncated(df.limit(0)).count() == 0
+
+
+def test_limits_in_bytes_and_below_strays(spark):
+    schema = "doc_id bigint, text string, source string, block_element string"
+    at = lambda i: (f"Sentence {i:03d} about waste. " * 100)[:1999] + "x"
+    zh = {1999: "a" + "量" * 666, 1998: "量" * 666, 1997: "a" * 1997, 1996: "a" + "量" * 665, 1990: "a" + "量" * 663}  # bytes, by what is left of 2,000
+    rows = [(i, at(i), "bytes", "paragraph") for i in range(20)] + [(100 + k, t, "bytes", "title") for k, t in enumerate(zh.values())]
+    rows += [(200, "a" * 1996 + "é", "bytes", "title"), (201, "a" * 1997 + "é", "bytes", "title"), (202, "😀" + "a" * 1993, "bytes", "title")]
+    rows += [(300 + i, f"Title of {i:03d} " + "w" * 242, "strays", "title") for i in range(20)] + [(350 + i, f"Title {i} " * (3 + i), "strays", "title") for i in range(15)] + [(399, "A longer stray text. " * 30, "strays", "paragraph")]
+    rows += [(400 + i, "word " * (i + 1), "spread", "title") for i in range(60)]
+    # cut at 300 characters: 20 of 23 texts have 300 bytes too, which is no limit in bytes
+    rows += [(500 + i, f"Title {i:03d} " + "y" * 290, "mirror", "title") for i in range(20)] + [(520 + i, f"Title {i:03d} " + "é" * (290 - 9 * i) + "z" * 9 * i, "mirror", "title") for i in range(3)] + [(530, "é" * 149, "mirror", "title"), (531, "a" + "é" * 149, "mirror", "title")]
+    df = spark.createDataFrame(rows, schema)
+    assert {len(r[1].encode()) for r in rows if 100 <= r[0] < 105} == set(zh)
+    limits = {(r.limit_source, r.limit_kind, r.limit) for r in length_limits(df, "text", "source").collect()}
+    assert ("bytes", "bytes", 2000) in limits and ("strays", "characters", 255) in limits and not any(s == "spread" for s, _, _ in limits)
+    assert {x for x in limits if x[0] == "mirror"} == {("mirror", "characters", 300)}
+    made = flag_truncated(df).cache()
+    want = {*range(20), 100, 101, 201, 202, *range(300, 320), *range(500, 523)}
+    assert {r.doc_id for r in made.filter("at_limit").collect()} == want
+    assert {r.doc_id for r in made.filter("truncated").collect()} == want
+    assert {r.source: r.at_limit for r in truncation_report(made).collect()} == {"bytes": 24, "strays": 20, "spread": 0, "mirror": 23}
