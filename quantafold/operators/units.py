@@ -18,7 +18,12 @@ from ..sources.tables import own_names
 
 RESULT = StructType([StructField("value", DoubleType()), StructField("unit", StringType()), StructField("status", StringType())])
 _MASS, _VOLUME = (("mass", 1),), (("length", 3),)
+NAMELIKE = 0.7  # likeness to a name that must be left where a unit behind it stands in no brackets
 _TAIL_MARKS = re.compile(r"[\s:;,，：*#†]+$")
+_BRACKETED = re.compile(r"\((?:[^()]|\([^()]*\))+\)|（[^（）]+）|\[[^\[\]]+\]")
+_STOP = re.compile(r"\s*[(（\[,，]|\s[-–—/]\s")
+_PART = re.compile(r"[)）\],，]\s*|\s[-–—/]\s+")
+_WORD_START = re.compile(r"(?<=\s)\S")
 
 
 def bounded(df: DataFrame, most: int, what: str) -> list:
@@ -44,7 +49,7 @@ class UnitConverter:
                 own[self.grammar.clean(unit)] = (factor * whole[0], whole[1][0][0])
         if own:
             self.grammar = UnitGrammar(own)
-        self.metrics = {name: (unit, self.grammar.read(unit), density, [" ".join(x.lower().split()) for x in names if x]) for name, (names, unit, density) in metrics.items()}
+        self.metrics = {name: (unit, self.grammar.read(unit), density, [" ".join(sorted(re.findall(r"[^\W_]+", x.lower()))) for x in names if x]) for name, (names, unit, density) in metrics.items()}
         self.rates = rates
         self.tails: dict[tuple[str, str], str | None] = {}
 
@@ -59,22 +64,22 @@ class UnitConverter:
         number, rest = quantity
         kind = self.grammar.kind(vector)
         if unit:
-            got = self.grammar.read(unit, vector)
+            got = self.grammar.read(unit, vector, per)
         else:
-            got = self.grammar.read(rest, vector) if rest else None
+            got = self.grammar.read(rest, vector, per) if rest else None
             if got is None:
-                got = self.grammar.read(self.behind_name(metric, target), vector)
+                got = self.grammar.read(self.behind_name(metric, target), vector, per)
             if got is None:
                 return None, common, "no unit"
         if got is None:
             return None, common, "unit not understood"
         factor, of = got
         if self.grammar.kind(of) == kind:
-            if kind == (("money", 1),) and of != vector:
+            if of != vector:  # other currencies; the power of the amount is that of its rate
                 rate = self._rate(of, vector, year)
                 if rate is None:
                     return None, common, "no rate"
-                factor *= rate
+                factor *= rate ** next(p for d, p in of if d.startswith("money"))
             return number * factor / per, common, "converted"
         if of == _MASS and vector == _VOLUME and density:
             return number * factor * 1000 / density / per, common, "converted"
@@ -104,37 +109,38 @@ class UnitConverter:
         return self.tails[key]
 
     def _behind(self, metric: str, target: str) -> str | None:
-        _, (_, vector), _, names = self.metrics[target]
+        _, (size, vector), _, names = self.metrics[target]
         text = " ".join(metric.split())
-        text = re.sub(r"\s*(?:/ year|\((?:audited|unaudited|incl\. subsidiaries|note \d+)\)|（附註.{1,2}）|\[\d+\]|, all sites|, restated|[-–] group|[-–] own operations)(?=\s|$|[,:*#(])", "", text)
-        text = _TAIL_MARKS.sub("", text)
-        options = []
-        if m := re.search(r"^(.*\S)\s*[(（]((?:[^()（）]|\([^()]*\))+)[)）]$", text):
-            options.append((m[1], m[2]))
-        if m := re.search(r"^(.*\S),? in (\S.*)$", text):
-            options.append((m[1], m[2]))
-        words = text.split(" ")
-        for k in range(1, min(6, len(words))):
-            options.append((" ".join(words[:-k]), " ".join(words[-k:])))
-        best: tuple[float, str] | None = None
-        whole = self._likeness(text, names)
-        for rest, unit in options:
-            got = self.grammar.read(unit, vector)
-            if got is None:
-                continue
-            if self.grammar.kind(got[1]) != self.grammar.kind(vector) and not (got[1] == _MASS and vector == _VOLUME):
-                continue
-            near = self._likeness(rest, names)
-            if near > whole and (best is None or near > best[0]):
-                best = (near, unit)
+        fits = lambda unit: (got := self.grammar.read(unit, vector, size)) and (self.grammar.kind(got[1]) == self.grammar.kind(vector) or got[1] == _MASS and vector == _VOLUME)
+        best = None
+        for first, start, end, unit in self._candidates(text):
+            if fits(unit):
+                bracketed = text[start] in "(（["
+                whole, rest = (text, f"{text[:start]} {text[end:]}") if bracketed else (text[first:end], text[first:start])
+                near, far = self._likeness(rest, names), self._likeness(whole, names)
+                if (near >= far if bracketed else near > far and near >= NAMELIKE) and (best is None or near > best[0]):
+                    best = (near, unit)
         return best[1] if best else None
 
+    @staticmethod
+    def _candidates(text: str) -> Iterator[tuple[int, int, int, str]]:
+        """(where its part of the text begins, start, end, text) of what may be a unit: what stands in brackets, and the ends of what stands before a
+        bracket, a comma, a dash between blanks or the text's end. Notes around it needn't be known."""
+        for m in _BRACKETED.finditer(text):
+            yield 0, m.start(), m.end(), m[0][1:-1]
+        parts = [0, *(m.end() for m in _PART.finditer(text))]
+        for stop in {m.start() for m in _STOP.finditer(text)} | {len(text)}:
+            first = max(p for p in parts if p <= stop)
+            end = len(_TAIL_MARKS.sub("", text[:stop]))
+            for m in _WORD_START.finditer(text, first, end):
+                unit = text[m.start() : end]
+                yield first, m.start(), end, unit[3:] if unit.startswith("in ") else unit
+
     @staticmethod
     def _likeness(text: str, names: list[str]) -> float:
-        """The largest likeness to a name, the order of words left aside."""
-        text = re.sub(r"^(?:[-–•]|\(\w\)|\d+\.\d+|kpi)\s+", "", re.sub(r"<[^<>]*>[^<>]*</[^<>]*>", "", text.lower().strip(" -–•*#:")).replace("_", " "))
-        mine = " ".join(sorted(text.replace(",", " ").split()))
-        return max((difflib.SequenceMatcher(None, mine, " ".join(sorted(n.split())), autojunk=False).ratio() for n in names), default=0.0)
+        """The largest likeness to a name, case, marks and the order of words left aside."""
+        mine = " ".join(sorted(re.findall(r"[^\W_]+", re.sub(r"<[^<>]*>[^<>]*</[^<>]*>", " ", text.lower()))))
+        return max((difflib.SequenceMatcher(None, mine, n, autojunk=False).ratio() for n in names), default=0.0)
 
 
 def convert_units(facts: DataFrame, schema: DataFrame, units: DataFrame, rates: DataFrame, prefix: str = "std_") -> DataFrame:

@@ -93,3 +93,36 @@ def test_years(spark):
     texts = ["2006", " 2006 ", "2006.0", "FY2006", "Year 2006", "2006年", "２００６", "12345", "", None]
     df = spark.createDataFrame([(t,) for t in texts], "y string").select(calendar_year("y").alias("y"))
     assert [r.y for r in df.collect()] == [2006] * 7 + [None] * 3
+
+
+# factor in the base unit: tonnes, MWh, metres, HKD, %, hours
+SIZES = {
+    "mg": 1e-9, "Mg": 1.0, "µg": 1e-12, "g": 1e-6, "kg": 1e-3, "KG": 1e-3, "kt": 1e3, "Mt": 1e6, "MT": 1.0, "mt": 1.0, "lbs": 0.00045359237, "short tons": 0.90718474, "oz": 0.028349523125e-3,
+    "mL": 1e-6, "ml": 1e-6, "cl": 1e-5, "L": 1e-3, "hL": 0.1, "kL": 1.0, "ML": 1e3, "GL": 1e6, "gallons": 3.785411784e-3, "barrels": 0.158987294928,
+    "mm": 1e-3, "cm": 1e-2, "km": 1e3, "ft": 0.3048, "miles": 1609.344, "cm2": 1e-4, "km²": 1e6, "ha": 1e4, "sq. ft": 0.09290304, "acres": 4046.8564224, "mm3": 1e-9, "cm³": 1e-6, "dm3": 1e-3, "cubic centimetres": 1e-6,
+    "mWh": 1e-9, "Wh": 1e-6, "kWh": 1e-3, "MWh": 1.0, "GWh": 1e3, "TWh": 1e6, "MJ": 1 / 3600, "GJ": 1 / 3.6, "TJ": 1e3 / 3.6, "PJ": 1e6 / 3.6, "kcal": 4.184e-3 / 3600, "toe": 11.63, "ktoe": 11630.0, "MMBtu": 0.2930710701722222,
+    "HK$ million": 1e6, "HKD bn": 1e9, "US$'000": 1e3, "RMB mn": 1e6, "m3/HK$ million": 1e-6, "kg/HK$ million": 1e-9, "kg per million HKD": 1e-9, "tCO2e/HK$'000": 1e-3, "t per thousand employees": 1e-3, "kg/year": 1e-3, "10³ m3": 1e3, "basis points": 0.01, "minutes": 1 / 60,
+}
+
+
+@pytest.mark.parametrize("text", SIZES)
+def test_sizes(text):
+    assert GRAMMAR.read(text)[0] == pytest.approx(SIZES[text])
+
+
+def test_priors_decide_where_case_is_lost():
+    energy, volume = ((("energy", 1),), 1.0), ((("length", 3),), 1.0)
+    assert GRAMMAR.read("mwh", *energy)[0] == 1.0 and GRAMMAR.read("mWh", *energy)[0] == pytest.approx(1e-9)
+    assert GRAMMAR.read("pj", *energy)[0] == pytest.approx(1e6 / 3.6) and GRAMMAR.read("Mm3", *volume)[0] == 1e6 and GRAMMAR.read("ml", *volume)[0] == pytest.approx(1e-6)
+
+
+def test_texts_of_any_length_are_read():
+    assert GRAMMAR.read(" " * 3000 + "kilo" + "-" * 3000 + "tonnes" + " " * 3000) == (1e3, (("mass", 1),))
+    assert GRAMMAR.read("per kg " * 1000) is None and GRAMMAR.read("mm/" * 2000 + "mm") is None
+
+
+def test_unit_behind_a_name_among_notes(references, spark):
+    rows = [(1, "5", None, "Waste (audited) (kg) – group", "Waste", None), (2, "5", None, "Waste in kg, restated", "Waste", None), (3, "5", None, "Female staff", "Female Employees", None), (4, "5", "kg" + " " * 4000, "Waste", "Waste", None)]
+    df = spark.createDataFrame(rows, "id bigint, value string, unit string, metric string, target_metric string, year string")
+    got = {r.id: (r.std_value, r.std_status) for r in convert_units(df, *references).collect()}
+    assert got == {1: (0.005, "converted"), 2: (0.005, "converted"), 3: (None, "no unit"), 4: (0.005, "converted")}
