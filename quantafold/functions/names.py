@@ -5,19 +5,34 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections.abc import Iterable
 from typing import NamedTuple
 
-# Words that tell little about which company is meant, in full and shortened;
-# endings of names in Chinese; characters that scans confuse.
+# Legal forms and what goes with them, in full and shortened; endings of names in
+# Chinese; characters that scans confuse. Other general words are learnt (operators.company_keys.general_words).
 LEGAL = frozenset(
     "the company co limited ltd group grp gp holdings holding hldgs hldg international intl int "
-    "industries inds ind corporation corp corpn inc plc asia esg report and its subsidiaries".split()
+    "industries inds ind corporation corp corpn inc incorporated plc llc llp gmbh pte pty and its subsidiaries".split()
 )
 LEGAL_LONG = ("company", "limited", "group", "holdings", "international", "industries", "corporation", "subsidiaries")
 ENDINGS_ZH = ("股份有限公司", "控股有限公司", "有限公司", "集團", "集团", "控股", "公司")
 MISREAD = str.maketrans({"0": "o", "1": "l", "5": "s", "8": "b", "3": "e", "6": "b", "9": "g", "4": "a"})
 
-_CJK = re.compile(r"[㐀-鿿]")
+_CJK = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff々〆]")
+_ACCENTS = re.compile(r"[\u0300-\u036f]")
+
+
+def without_accents(text: str) -> str:
+    """Letters of any script without the accents that are written above or below them."""
+    return unicodedata.normalize("NFC", _ACCENTS.sub("", unicodedata.normalize("NFD", text)))
+
+
+def words_of(name: str | None) -> list[str]:
+    """The words of a name of any script, in lower case, without accents, markup, apostrophes or misread characters."""
+    text = without_accents(unicodedata.normalize("NFKC", re.sub(r"<[^<>]*>", " ", name or "")))
+    text = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", text)
+    words = re.findall(r"[^\W_]+", re.sub(r"['’`]", "", text.lower()))
+    return [w.translate(MISREAD) if re.search(r"[a-z]", w) else w for w in words]
 
 
 class Form(NamedTuple):
@@ -64,32 +79,32 @@ def _shortens(short: str, word: str) -> bool:
 
 class NameReader:
     """Reads names to forms; *sectors* are the lines of business that names may hold, *known* the
-    words of registered names, which are never taken for a misspelt general word."""
+    words of registered names, which are never taken for a general word or a misspelt one, *general* further
+    words that tell nothing about which company is meant."""
 
-    def __init__(self, sectors: list[str], known: frozenset[str] = frozenset()):
+    def __init__(self, sectors: list[str], known: Iterable[str] = (), general: Iterable[str] = ()):
         self.sectors = sorted({s.lower() for s in sectors if s and " " not in s})
-        self.known = known
+        self.known = frozenset(known)
+        self.general = LEGAL | frozenset(general)
         self.words: dict[str, str | None] = {}
 
     def form(self, name: str | None) -> Form:
-        """The form of a name; null, blank and names of general words only give Form('', '', ())."""
+        """The form of a name of any script; null, blank, and names of general words or marks only give Form('', '', ())."""
         if not name or not name.strip():
             return Form("", "", ())
-        text = unicodedata.normalize("NFKC", re.sub(r"<[^<>]*>", " ", name))
-        if _CJK.search(text):
-            base = "".join(_CJK.findall(text))
+        words = words_of(name)
+        if any(_CJK.search(w) for w in words):
+            base = "".join(w for w in words if w not in self.general)
             for end in ENDINGS_ZH:
                 if base.endswith(end) and len(base) > len(end):
                     base = base[: -len(end)]
                     break
-            return Form("zh", "", (base,))
-        text = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", text)
-        words = re.findall(r"[a-z0-9]+", re.sub(r"['’`]", "", text.lower()))
+            if _CJK.search(base):
+                return Form("zh", "", (base,))
+            words = [base]
         left, sector = [], ""
         for word in words:
-            if re.search(r"[a-z]", word):
-                word = word.translate(MISREAD)
-            if word in LEGAL:
+            if word in self.general:
                 continue
             meaning = self._meaning(word)
             if meaning == "":

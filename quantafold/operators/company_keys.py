@@ -12,8 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import Form, NameReader, likeness
+from ..functions.names import LEGAL, Form, NameReader, likeness, words_of
+from ..session import cut
 from ..sources.tables import present
+from .units import bounded
 
 ALIKE = 0.8
 MARGIN = 0.02
@@ -39,31 +41,74 @@ def _keys(form: Form, registered: bool) -> list[str]:
     return sorted(f"{f}|{k}" for f in fields for k in found)
 
 
-_SCHEMA = "name string, kind string, sector string, tokens array<string>, form string, keys array<string>"
+_SCHEMA = "name string, kind string, sector string, tokens array<string>, form string, keys array<struct<key:string,parent:string>>"
+HELD_BY_MANY = 50  # registered names from which a key is refined by a further word
 
 
-def _read(names: DataFrame, sectors: list[str], registered: bool) -> DataFrame:
+def _refined(form: Form, registered: bool) -> list[tuple[str, str]]:
+    """(key, parent) of a form: each key is its own parent; keys of one word of several are refined by the
+    beginning and the end of each other word, for use where too many registered names hold the word."""
+    keys = _keys(form, registered)
+    found = [(k, k) for k in keys]
+    for k in keys:
+        _, _, word = k.partition("|w|")
+        if word and len(form.tokens) > 1:
+            for other in form.tokens:
+                if other != word:
+                    found += [(f"{k}>{other[:3]}", k), (f"{k}<{other[-3:]}", k)]
+    return sorted(set(found))
+
+
+def _read(names: DataFrame, sectors: list[str], registered: bool, general: list[str]) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = NameReader(sectors)
+        reader = NameReader(sectors, general=general)
         for part in parts:
-            rows = [(n, f.kind, f.sector, list(f.tokens), f.key, _keys(f, registered)) for n in part["name"] for f in (reader.form(n),)]
+            rows = [(n, f.kind, f.sector, list(f.tokens), f.key, [{"key": k, "parent": p} for k, p in _refined(f, registered)]) for n in part["name"] for f in (reader.form(n),)]
             yield pd.DataFrame(rows, columns=["name", "kind", "sector", "tokens", "form", "keys"])
 
     return names.select("name").mapInPandas(run, _SCHEMA)
 
 
+def general_words(names: DataFrame, registry: DataFrame, sectors: list[str], share: float = 0.005, least: int = 3) -> list[str]:
+    """Words that say nothing about which company is meant: held by no registered name, by at least *share*
+    of the distinct *names* (and *least* of them), and standing beside as many different registered words as
+    names, at least five.
+
+    Counted over all distinct names; a name has a handful of words, so at most some words / *share* come
+    to the driver. Names of other scripts count like others; an empty registry or table gives none.
+    """
+    def split(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = NameReader(sectors)
+        for part in parts:
+            yield pd.DataFrame({"name": part["name"], "words": [sorted({w for w in words_of(n) if w not in LEGAL and reader._meaning(w) is None}) for n in part["name"]]})
+
+    schema = "name string, words array<string>"
+    each = names.select("name").mapInPandas(split, schema).filter("size(words) > 0")
+    held = registry.filter(present("name")).select("name").distinct().mapInPandas(split, schema).select(F.explode("words").alias("word")).distinct()
+    total = names.count()
+    mine = each.select("words", F.explode("words").alias("word")).join(held, "word", "left_anti")
+    frequent = mine.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= max(least, share * total))
+    beside = mine.join(frequent, "word").select(F.col("word").alias("of"), "n", F.explode("words").alias("word")).join(held, "word", "left_semi").groupBy("of", "n").agg(F.count_distinct("word").alias("spread"))
+    return sorted(r[0] for r in bounded(beside.filter((F.col("spread") >= F.col("n")) & (F.col("spread") >= 5)).select("of"), 20_000, "general words"))
+
+
 def company_of(names: DataFrame, registry: DataFrame, sectors: list[str]) -> DataFrame:
     """`name`, `entity` of each distinct non-empty name: the registered company it's most like, else its own form.
 
-    *registry*: `entity` (string), `name`. A name as near to two companies stands for itself. Null,
-    empty and blank names are left out; an empty registry leaves each form an entity of its own.
+    *registry*: `entity` (string), `name`. A name as near to two companies stands for itself, as does one of
+    general words or marks only. Null, empty and blank names are left out; an empty registry leaves each
+    form an entity of its own. A key that many registered names hold is met together with a further word
+    only, so that a common word doesn't bring all names that hold it together.
     """
-    typed = _read(names.filter(present("name") & (F.trim("name") != "")).select("name").distinct(), sectors, False).filter("kind <> ''")
-    owners = _read(registry.filter(present("name")).select("name").distinct(), sectors, True).join(registry, "name").filter("kind <> ''")
-    forms = typed.select("form", "kind", "sector", "tokens", "keys").dropDuplicates(["form"])
-    met = forms.select("form", "kind", "sector", "tokens", F.explode("keys").alias("key")).join(
-        owners.select("entity", F.col("sector").alias("of_sector"), F.col("tokens").alias("of_tokens"), F.explode("keys").alias("key")), "key"
-    ).drop("key").distinct()
+    distinct = cut(names.filter(present("name") & (F.trim("name") != "")).select("name").distinct())
+    general = general_words(distinct, registry, sectors)
+    every = cut(_read(distinct, sectors, False, general))
+    owners = cut(_read(registry.filter(present("name")).select("name").distinct(), sectors, True, general).join(registry, "name").filter("kind <> ''"))
+    forms = every.filter("kind <> ''").select("form", "kind", "sector", "tokens", "keys").dropDuplicates(["form"])
+    posted = owners.select("entity", F.col("sector").alias("of_sector"), F.col("tokens").alias("of_tokens"), F.inline("keys"))
+    heavy = posted.filter("key = parent").groupBy("parent").agg(F.count("*").alias("n")).filter(F.col("n") > HELD_BY_MANY).select("parent", F.lit(True).alias("heavy"))
+    right = posted.join(heavy, "parent", "left").filter(F.coalesce("heavy", F.lit(False)) == (F.col("key") != F.col("parent"))).drop("parent", "heavy")
+    met = forms.select("form", "kind", "sector", "tokens", F.inline("keys")).drop("parent").join(right, "key").drop("key").distinct()
 
     @F.pandas_udf("double")
     def alike(kind: pd.Series, sector: pd.Series, tokens: pd.Series, of_sector: pd.Series, of_tokens: pd.Series) -> pd.Series:
@@ -72,4 +117,5 @@ def company_of(names: DataFrame, registry: DataFrame, sectors: list[str]) -> Dat
     scored = met.withColumn("alike", alike("kind", "sector", "tokens", "of_sector", "of_tokens")).filter(F.col("alike") >= ALIKE).groupBy("form", "entity").agg(F.max("alike").alias("alike"))
     order = Window.partitionBy("form").orderBy(F.desc("alike"), "entity")
     best = scored.withColumn("_rank", F.row_number().over(order)).withColumn("_next", F.lead("alike", 1, 0.0).over(order)).filter((F.col("_rank") == 1) & (F.col("alike") >= F.col("_next") + MARGIN))
-    return typed.join(best.select("form", "entity"), "form", "left").select("name", F.coalesce("entity", F.concat(F.lit("form:"), "form")).alias("entity"))
+    own = F.when(F.col("kind") == "", F.concat(F.lit("name:"), "name")).otherwise(F.concat(F.lit("form:"), "form"))
+    return every.select("name", "kind", "form").join(best.select("form", "entity"), "form", "left").select("name", F.coalesce("entity", own).alias("entity"))

@@ -10,6 +10,7 @@ from ..operators.company_keys import company_of
 from ..operators.spikes import flag_implausible
 from ..operators.units import bounded, convert_units, misconverted
 from ..operators.wide import conflicting_cells, stitch
+from ..session import cut
 from ..sources.tables import listed, own_names, present, table
 
 
@@ -55,7 +56,8 @@ def _judged(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     facts, schema = table(spark, folder, "environment_info"), table(spark, folder, "metric_schema")
     shares = {r[0]: 100.0 for r in bounded(own_names(schema).filter("common_unit = '%'").select("own_name"), 10_000, "metric_schema")}
     rows = listed(facts.select("id", "company_name", "target_metric", calendar_year("year").alias("year"), "converted_value"), schema)
-    rows = rows.filter("converted_value IS NOT NULL AND year IS NOT NULL").join(companies(spark, folder).withColumnRenamed("name", "company_name"), "company_name")
+    named = cut(companies(spark, folder).withColumnRenamed("name", "company_name"))  # read by both sides of p6_found
+    rows = rows.filter("converted_value IS NOT NULL AND year IS NOT NULL").join(named, "company_name")
     return rows, flag_implausible(rows, ["entity", "target_metric"], "year", "converted_value", shares, "target_metric")
 
 

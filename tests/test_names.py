@@ -1,7 +1,7 @@
 import pytest
 
 from quantafold.functions.names import Form, NameReader, edit_distance, likeness
-from quantafold.operators.company_keys import company_of
+from quantafold.operators.company_keys import company_of, general_words
 
 READER = NameReader(["Power", "Paper", "Property", "Shipping", "Electronics", "Steel"])
 WHOLE = READER.form("Ginosyel Drastenbri Power Company Limited")
@@ -36,3 +36,24 @@ def test_companies(spark):
     got = {r.name: r.entity for r in company_of(spark.createDataFrame([(n,) for n in names], "name string"), registry, ["Power", "Paper", "Steel"]).collect()}
     assert got["Ginos Drasten Power"] == got["永信卓邦億電力"] == "1" and got["Felrostam Drakarfel Pwr"] == "3"
     assert got["Felrostam Drakarfel"].startswith("form:") and got["Unknown Name Steel"].startswith("form:") and len(got) == 5
+
+
+def test_general_words_are_learnt_and_registered_ones_kept(spark):
+    cores = ["Alba Bova", "Cora Dune", "Elfa Fino", "Gala Hemi", "Iota Jura", "Kelo Lima"]
+    registry = spark.createDataFrame([(str(i), f"{c} Power Limited") for i, c in enumerate(cores)], "entity string, name string")
+    names = spark.createDataFrame([(f"{c} {end}",) for c in cores for end in ("Power Limited", "(Asia)")] + [("Zorb Quix",), ("Zorb Quixx",), ("Zorb Quox",), ("",), (None,)], "name string")
+    assert general_words(names.filter("name <> ''").distinct(), registry, ["Power"]) == ["asia"]
+    with_asia = registry.unionByName(spark.createDataFrame([("9", "Asia Alba Power")], "entity string, name string"))
+    assert general_words(names.filter("name <> ''").distinct(), with_asia, ["Power"]) == []
+    assert general_words(names.limit(0), registry, ["Power"]) == []
+
+
+def test_a_word_that_many_registered_names_hold(spark):
+    import random
+
+    rng = random.Random(4)
+    others = sorted({"".join(rng.choices("bdfgklmnprstv", k=3)) + "".join(rng.choices("aeiou", k=2)) + "".join(rng.choices("bdfgk", k=3)) for _ in range(120)})
+    registry = spark.createDataFrame([(str(i), f"Northgate {o} Steel") for i, o in enumerate(others)], "entity string, name string")
+    names = [f"NORTHGATE {o.upper()} STEEL LTD" for o in others] + ["***", "The Group Limited"]
+    got = {r.name: r.entity for r in company_of(spark.createDataFrame([(n,) for n in names], "name string"), registry, ["Steel"]).collect()}
+    assert all(got[f"NORTHGATE {o.upper()} STEEL LTD"] == str(i) for i, o in enumerate(others)) and len(got) == len(names) and got["***"] == "name:***"
