@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import Form, NameReader, grams, likeness
+from ..operators.company_keys import general_words
 from ..session import cut
 from ..sources.tables import present
 
@@ -24,12 +25,12 @@ MARGIN = 0.02  # by which the best partner must surpass the next one
 _FORMS = "name string, kind string, sector string, tokens array<string>, form string, grams array<string>"
 
 
-def read_forms(names: DataFrame, sectors: list[str], known: DataFrame | None = None) -> DataFrame:
+def read_forms(names: DataFrame, sectors: list[str], general: list[str] = ()) -> DataFrame:
     """`name` with its form: kind, sector, tokens, form (a key) and q-grams. One narrow pass."""
-    sector_list = list(sectors)
+    sector_list, general_list = list(sectors), list(general)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = NameReader(sector_list)
+        reader = NameReader(sector_list, general=general_list)
         for part in parts:
             rows = []
             for name in part["name"]:
@@ -89,9 +90,8 @@ def verify(pairs: DataFrame, weights: DataFrame) -> DataFrame:
 
 def _weights(of: DataFrame) -> DataFrame:
     """How much each word of the registered forms counts: rare words more."""
-    tokens = of.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    total = of.agg(F.count("*").alias("total"))
-    return tokens.join(F.broadcast(total)).select("token", F.log(1 + F.col("total") / F.col("n")).alias("weight"))
+    total = of.count()
+    return of.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.log(1 + F.lit(float(total)) / F.count("*")).alias("weight"))
 
 
 def components(edges: DataFrame, most: int = 30) -> DataFrame:
@@ -117,36 +117,38 @@ def link_spellings(spellings: DataFrame, registry: DataFrame | None, sectors: li
     """`name`, `entity`, `alike`: the entity that each distinct spelling stands for.
 
     *spellings*: a column `name`; *registry*: `entity` (string) and `name`, its registered names, of
-    which those of different script link through the entity. A spelling goes to the registered form
-    that is most like it, if it's alike enough and no other entity is as near; forms alike to none are
-    joined with each other and linked by components, with the smallest form as their entity.
-
-    Cases: null and blank names, and names of general words only, are left out; repeated rows and
-    registered names count once; a form that two entities share, or that is as near to two, goes to
-    neither and stands for itself; without a registry all forms are joined with each other; an empty
-    table gives no rows.
+    which those of different script link through the entity. Words that say nothing about the company are learnt from the
+    spellings (general_words). A spelling goes to the registered form that is most like it, if it's alike enough
+    and no other entity is as near; forms alike to none are joined with each other and linked by components,
+    with the smallest form as their entity.
+
+    Cases: null and blank names are left out; every other spelling is in the result, names of general words or marks
+    only stand for themselves; repeated rows and registered names count once; a form that two entities
+    share, or that is as near to two, goes to neither and stands for itself; without a registry all forms are joined
+    with each other; an empty table gives no rows.
     """
-    names = spellings.filter(present("name") & (F.trim("name") != "")).select("name").distinct()
-    read = cut(read_forms(names, sectors))
-    forms = read.filter("kind <> ''").dropDuplicates(["form"]).drop("name")
+    spark = spellings.sparkSession
+    names = cut(spellings.filter(present("name") & (F.trim("name") != "")).select("name").distinct())
     if registry is None:
-        registry = spellings.sparkSession.createDataFrame([], "entity string, name string")
-    registered = read_forms(registry.filter(present("name")).select("name").distinct(), sectors).join(registry, "name").filter("kind <> '' and size(tokens) > 0")
-    owners = registered.groupBy("form", "kind", "sector", "tokens", "grams").agg(F.min("entity").alias("entity"), F.count_distinct("entity").alias("n")).filter("n = 1").drop("n")
-    owners = cut(owners)
-    checked = verify(propose(forms, owners.drop("entity")), _weights(owners)).join(owners.select(F.col("form").alias("partner"), "entity"), "partner")
+        registry = spark.createDataFrame([], "entity string, name string")
+    general = general_words(names, registry, sectors)
+    read = cut(read_forms(names, sectors, general))
+    forms = cut(read.filter("kind <> ''").dropDuplicates(["form"]).drop("name"))
+    registered = read_forms(registry.filter(present("name")).select("name").distinct(), sectors, general).join(registry, "name").filter("kind <> '' and size(tokens) > 0")
+    owners = cut(registered.groupBy("form", "kind", "sector", "tokens", "grams").agg(F.min("entity").alias("entity"), F.count_distinct("entity").alias("n")).filter("n = 1").drop("n"))
+    checked = verify(cut(propose(forms, owners.drop("entity"))), _weights(owners)).join(owners.select(F.col("form").alias("partner"), "entity"), "partner")
     per_entity = cut(checked.filter(F.col("alike") >= ALIKE).groupBy("form", "entity").agg(F.max("alike").alias("alike")))
-    ranked = per_entity.withColumn("_next", F.lead("alike", 1, 0.0).over(Window.partitionBy("form").orderBy(F.desc("alike"), "entity"))).withColumn("_rank", F.row_number().over(Window.partitionBy("form").orderBy(F.desc("alike"), "entity")))
-    owned = cut(ranked.filter((F.col("_rank") == 1) & (F.col("alike") >= F.col("_next") + MARGIN)).select("form", "entity", "alike"))
-    near_some = per_entity.select("form").distinct()
-    loose = cut(forms.join(near_some, "form", "left_anti"))
-    labels = spellings.sparkSession.createDataFrame([], "node string, label string")
+    order = Window.partitionBy("form").orderBy(F.desc("alike"), "entity")
+    ranked = per_entity.withColumn("_next", F.lead("alike", 1, 0.0).over(order)).withColumn("_rank", F.row_number().over(order))
+    owned = ranked.filter((F.col("_rank") == 1) & (F.col("alike") >= F.col("_next") + MARGIN)).select("form", "entity", "alike")
+    loose = cut(forms.join(per_entity.select("form").distinct(), "form", "left_anti"))
+    labels = spark.createDataFrame([], "node string, label string")
     if not loose.isEmpty():
-        own = verify(propose(loose, loose), _weights(loose)).filter((F.col("alike") >= ALIKE) & (F.col("form") != F.col("partner")))
+        own = verify(cut(propose(loose, loose)), _weights(loose)).filter((F.col("alike") >= ALIKE) & (F.col("form") != F.col("partner")))
         labels = components(own.select(F.col("form").alias("a"), F.col("partner").alias("b")))
-    entity = F.coalesce(F.col("entity"), F.concat(F.lit("form:"), F.coalesce("label", "form")))
-    joined = read.select("name", "form").filter("form <> '||'").join(owned, "form", "left").join(labels.withColumnRenamed("node", "form"), "form", "left")
-    return joined.select("name", entity.alias("entity"), F.coalesce("alike", F.lit(1.0)).alias("alike"))
+    itself = F.when(F.col("form") == "||", F.concat(F.lit("name:"), "name")).otherwise(F.concat(F.lit("form:"), F.coalesce("label", "form")))
+    joined = read.select("name", "form").join(owned, "form", "left").join(labels.withColumnRenamed("node", "form"), "form", "left")
+    return cut(joined.select("name", F.coalesce("entity", itself).alias("entity"), F.coalesce("alike", F.lit(1.0)).alias("alike")))
 
 
 def variant_pairs(linked: DataFrame) -> DataFrame:

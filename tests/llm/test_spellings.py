@@ -13,7 +13,7 @@ def linked(spark, names, registry=REGISTRY):
 def test_variants_link_through_the_registry(spark):
     names = ["Ginos Drasten Power", "GINSOYEL DRASTENBRI POWER LTD", "永信卓邦億電力", "Power Group (Felrostam Drakarfel)", "Felrostam Drakarfel Ppr", "Felrostam Drakarfel", None, "", " ", "The Group Limited", "Ginos Drasten Power"]
     got = {r.name: r.entity for r in linked(spark, names).collect()}
-    assert [got[n] for n in names[:5]] == ["1", "1", "1", "3", "2"] and got["Felrostam Drakarfel"].startswith("form:") and len(got) == 6
+    assert [got[n] for n in names[:5]] == ["1", "1", "1", "3", "2"] and got["Felrostam Drakarfel"].startswith("form:") and got["The Group Limited"] == "name:The Group Limited" and len(got) == 7
 
 
 def test_without_registry_forms_link_with_each_other(spark):
@@ -48,3 +48,16 @@ def test_components(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a string, b string")).collect()}
     assert all(got[f"n{i:02}"] == "n00" for i in range(21)) and got["y"] == got["x"] == "x"
     assert components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_names_of_every_script_stay(spark):
+    names = ["Газпром нефть", "ГАЗПРОМ НЕФТЬ", "삼성전자", "삼성전자 주식회사", "トヨタ自動車", "شركة النور", "Société Générale Énergie", "Societe Generale Energie", "***", "ABC集團", "XYZ集團"]
+    got = {r.name: r.entity for r in linked(spark, names, None).collect()}
+    assert set(got) == set(names) and got["***"] == "name:***"
+    assert got[names[0]] == got[names[1]] and got[names[6]] == got[names[7]] and got["ABC集團"] != got["XYZ集團"] and got["삼성전자"] != got["トヨタ自動車"]
+
+
+def test_a_registered_word_is_never_general(spark):
+    registry = [("1", "Northgate Power Ltd"), ("2", "Northgate Asia Power Ltd")]
+    got = {r.name: r.entity for r in linked(spark, ["Northgate Power Limited", "Northgate Asia Power Limited"], registry).collect()}
+    assert got == {"Northgate Power Limited": "1", "Northgate Asia Power Limited": "2"}
