@@ -12,7 +12,7 @@ from .canonical import canonicalize, mine_aliases
 from .encode import encode, round_trip_losses
 from .packing import fill_report, overfull, pack
 from .spellings import link_spellings, variant_pairs
-from .survivors import choose_survivors, filled, fuse, upload_times
+from .survivors import FACT_BUNDLES, FACT_CRITERIA, choose_bundles, choose_survivors, fact_trust, filled, fuse, upload_times
 from .truncation import flag_truncated, truncation_report
 
 
@@ -50,26 +50,32 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return _canonical(spark, folder).select("id", F.col("canonical").alias("target_metric"))
 
 
-def _survivors(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def _stated(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The listed rows of a company and year, and the upload time of each document."""
     facts = table(spark, folder, "environment_info")
     rows = listed(facts, table(spark, folder, "metric_schema")).filter(present("company_name") & present("year"))
-    uploads = upload_times(table(spark, folder, "pdffiles"))
-    scored = rows.withColumn("_filled", filled(facts.columns)).withColumn("_year", calendar_year("year"))
-    slim = scored.select("id", "company_name", "_year", "target_metric", "document_id", "_filled", "similar_score", "table_score")
-    named = slim.join(linked_names(spark, folder).select(F.col("name").alias("company_name"), "entity"), "company_name").drop("company_name")
-    dated = named.join(uploads, "document_id", "left").drop("document_id")
-    return facts, choose_survivors(dated, ["entity", "_year", "target_metric"], ["_filled", "similar_score", "table_score", "uploaded"], fields=facts)
+    return rows.withColumn("_filled", filled(facts.columns)).withColumn("_year", calendar_year("year")), upload_times(table(spark, folder, "pdffiles"))
+
+
+def _named(spark: SparkSession, folder: str, slim: DataFrame) -> DataFrame:
+    return slim.join(linked_names(spark, folder).select(F.col("name").alias("company_name"), "entity"), "company_name").drop("company_name")
+
+
+KEYS = ["entity", "_year", "target_metric"]
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """The surviving row of each fact that several rows state."""
-    return _survivors(spark, folder)[1].select("group_id", "id")
+    rows, uploads = _stated(spark, folder)
+    named = _named(spark, folder, rows.select("id", "company_name", "_year", "target_metric", "document_id", "_filled", "similar_score", "table_score"))
+    return choose_survivors(named.join(uploads, "document_id", "left").drop("document_id"), KEYS, FACT_CRITERIA).select("group_id", "id")
 
 
 def p5_fused(spark: SparkSession, folder: str) -> DataFrame:
-    """The surviving records, bundle by bundle."""
-    facts, survivors = _survivors(spark, folder)
-    return fuse(facts, survivors)
+    """The surviving records, each bundle from the record most trusted for it that agrees with the others."""
+    rows, uploads = _stated(spark, folder)
+    trusted = fact_trust(rows, uploads).select("id", "company_name", "_year", "target_metric", "document_id", "metric", "trust_reading", "trust_place", "trust_match")
+    return fuse(table(spark, folder, "environment_info"), choose_bundles(_named(spark, folder, trusted), KEYS, {b: f"trust_{b}" for b in FACT_BUNDLES.bundles}))
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
