@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import product
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -78,8 +77,10 @@ class AliasTrie:
     def __init__(self):
         self.top: dict = {}
         self.size = 0
+        self.depth = 0  # of the longest path
 
     def add(self, path: str, entry: str) -> None:
+        self.depth = max(self.depth, len(path))
         node = self.top
         for ch in path:
             node = node.setdefault(ch, {})
@@ -98,11 +99,11 @@ class AliasTrie:
 
     def within(self, word: str, most: int) -> list[tuple[int, str]]:
         """(distance, entry) of all entries with a path at most *most* edits from *word*, nearest first."""
-        automaton = self._automata.setdefault(most, Automaton(most))
-        masks: dict[str, int] = {}
-        for i, ch in enumerate(word):
-            masks[ch] = masks.get(ch, 0) | 1 << i
-        n, full, window = len(word), (1 << automaton.window) - 1, automaton.window
+        n = len(word)
+        if n > self.depth + most:  # longer than any path can be with its edits
+            return []
+        automaton, masks = self._automata.setdefault(most, Automaton(most)), _places(word)
+        full, window = (1 << automaton.window) - 1, automaton.window
         found: dict[str, int] = {}
         stack = [(self.top, 0, automaton.start)]
         step = automaton.step
@@ -120,6 +121,33 @@ class AliasTrie:
                     stack.append((below, base + move, new))
         return sorted((d, e) for e, d in found.items())
 
+    def begins(self, word: str, most: int) -> bool:
+        """Whether some path begins with what is at most *most* edits from *word*."""
+        n = len(word)
+        if n > self.depth + most:
+            return False
+        automaton, masks = self._automata.setdefault(most, Automaton(most)), _places(word)
+        full, window = (1 << automaton.window) - 1, automaton.window
+        stack = [(self.top, 0, automaton.start)]
+        while stack:
+            node, base, state = stack.pop()
+            if any(n - base - at <= most - e for at, e in state):  # what is left of the word counts as missing
+                return True
+            for ch, below in node.items():
+                if ch:
+                    move, new = automaton.step(state, masks.get(ch, 0) >> base & full, min(n - base, window))
+                    if new:
+                        stack.append((below, base + move, new))
+        return False
+
+
+def _places(word: str) -> dict[str, int]:
+    """Each character's places in the word, as bits."""
+    masks: dict[str, int] = {}
+    for i, ch in enumerate(word):
+        masks[ch] = masks.get(ch, 0) | 1 << i
+    return masks
+
 
 def allowed(length: int) -> int:
     """The edits that a value of so many characters may be away: none up to 3, then 1, 2 from 9, 3 from 18, 4 from 24."""
@@ -199,12 +227,14 @@ class Canonicalizer:
                 letters = word.replace("'", "")
                 full = [w for w in self.vocabulary.get(word[0], ()) if len(w) > len(letters) and w[-1] == letters[-1] and _in_order(letters, w)]
             options.append(full or [token])
-        if any(len(o) > 1 or o[0] != t for o, t in zip(options, shape.split(), strict=False)):
-            total = 1
-            for o in options:
-                total *= len(o)
-            if total <= 256:  # a bound of the readings of one value
-                yield from (" ".join(p) for p in product(*options))
+        if not any(len(o) > 1 or o[0] != t for o, t in zip(options, shape.split(), strict=False)):
+            return
+        readings = [""]
+        for full in options:
+            readings = [f"{r} {w}" if r else w for r in readings for w in full]
+            if len(readings) > 64:  # those that no path begins with can't be found whatever follows
+                readings = [r for r in readings if self.trie.begins(r, allowed(len(shape) * 9))]
+        yield from readings
 
     def find(self, value: str | None) -> str:
         """The entry's name or 'unmatched'; null, blank, and values that name no entry are unmatched."""
@@ -224,8 +254,6 @@ class Canonicalizer:
         best: dict[str, float] = {}
         for shape in shapes:
             for written in (shape, *self._written_out(shape)):
-                if len(written) > 120:
-                    continue
                 for d, entry in self.trie.within(written, allowed(len(written))):
                     best[entry] = min(best.get(entry, 99.0), d / len(written))
         if not best:
@@ -255,15 +283,15 @@ def mine_aliases(known: DataFrame, entries: dict[str, list[str]], share: float =
         for part in parts:
             rows = []
             for value, entry, n, w in zip(part["value"], part["entry"], part["n"], part["w"], strict=True):
-                shapes = [s for s in finder._shapes(value) if len(s) <= 120]
+                shapes = list(finder._shapes(value))
                 reached = any(finder.trie.exact(s) for s in shapes) or any(finder.trie.within(s, allowed(len(s))) for s in shapes)
-                shape = "" if reached else finder.wording(value)[:121]
+                shape = "" if reached else finder.wording(value)
                 rows.append((shape, entry, int(n), int(w)))
             yield pd.DataFrame(rows, columns=["alias", "entry", "n", "w"])
 
     shaped = counted.mapInPandas(run, "alias string, entry string, n bigint, w bigint").groupBy("alias", "entry").agg(F.sum("n").alias("n"), F.max("w").alias("w"))
     totals = counted.groupBy("entry").agg(F.sum("n").alias("of_entry"))
-    uses = shaped.filter("alias <> '' AND length(alias) <= 120").groupBy("alias").agg(F.sum("n").alias("of_alias"), F.max_by("entry", "n").alias("entry"), F.max("n").alias("n"), F.max("w").alias("w"))
+    uses = shaped.filter("alias <> ''").groupBy("alias").agg(F.sum("n").alias("of_alias"), F.max_by("entry", "n").alias("entry"), F.max("n").alias("n"), F.max("w").alias("w"))
     kept = uses.join(totals, "entry").filter((F.col("w") >= least) & (F.col("n") >= share * F.col("of_entry")) & (F.col("n") >= 0.9 * F.col("of_alias")))
     finder = Canonicalizer({})
     chosen = []

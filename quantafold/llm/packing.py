@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -112,8 +114,8 @@ def pack(texts: DataFrame, containers: DataFrame, key: str = "doc_id", text: str
 
     Sizes are tokens of the container's tokenizer. A text within the capacity is one piece; a longer
     one is split into full pieces, each a bin of its own, and a remainder that is packed as an item.
-    Best-two-fit runs within shards of about *shard_rows* rows, drawn by hash of row and key so that
-    neither a hot key nor order matters; a shard leaves at most its last bins unfilled, some hundredths
+    Best-two-fit runs within shards of about *shard_rows* rows, drawn by a hash of key, size and, of rows alike in both, their
+    number, so that neither a hot key nor the order or layout of the rows matters: the same rows give the same bins; a shard leaves at most its last bins unfilled, some hundredths
     of a percent of its space. All rows are placed, nothing is sampled. The shuffle carries key and size only.
 
     Cases: null and empty texts have size 0 and share a bin; equal sizes and repeated rows are each
@@ -125,21 +127,19 @@ def pack(texts: DataFrame, containers: DataFrame, key: str = "doc_id", text: str
         raise ValueError("more than 1000 kinds of containers")
     if any(not c or c < 1 for _, _, c in kinds):
         raise ValueError("a container needs a capacity of at least 1")
-    made = None
-    for name in sorted({t for _, t, _ in kinds}):
-        one = _pack_by(texts, [(i, c) for i, t, c in kinds if t == name], name, key, text, folder, shard_rows)
-        made = one if made is None else made.unionByName(one)
-    if made is None:
+    names = sorted({t for _, t, _ in kinds})
+    if not names:
         return texts.sparkSession.createDataFrame([], StructType([texts.schema[key], *ASSIGNED.fields]))
-    return made
+    shards = max(1, -(-texts.count() // shard_rows))
+    made = [_pack_by(texts, [(i, c) for i, t, c in kinds if t == name], name, key, text, folder, shards) for name in names]
+    return reduce(DataFrame.unionByName, made)
 
 
-def _pack_by(texts: DataFrame, kinds: list[tuple[int, int]], name: str, key: str, text: str, folder: str, shard_rows: int) -> DataFrame:
-    shards = max(1, -(-texts.count() // shard_rows))
-    numbered = texts.select(key, text).withColumn("_shard", F.pmod(F.xxhash64(key, F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
-    # the token count runs on the scan's partitions, before the shuffle
-    sized = count_tokens(numbered.withColumn("_key", F.struct(F.col(key).alias("k"), "_shard")), "_key", text, name, folder)
-    sized = sized.select(F.col("_key.k").alias(key), F.col("_key._shard").alias("_shard"), "tokens")
+def _pack_by(texts: DataFrame, kinds: list[tuple[int, int]], name: str, key: str, text: str, folder: str, shards: int) -> DataFrame:
+    # the token count runs on the scan's partitions, before the shuffle; rows alike in key and size can stand for each other
+    alike = count_tokens(texts, key, text, name, folder).groupBy(key, "tokens").agg(F.count("*").alias("_n"))
+    each = alike.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n")))).drop("_n")
+    sized = each.select(key, F.pmod(F.xxhash64(key, "tokens", "_copy"), F.lit(shards)).cast("int").alias("_shard"), "tokens")
     out = StructType([sized.schema[key], *ASSIGNED.fields])
 
     def place(group: pa.Table) -> pa.Table:

@@ -40,8 +40,8 @@ def _canonical(spark: SparkSession, folder: str) -> DataFrame:
     entries = {r.own_name: list(r.synonyms) for r in bounded(own_names(schema).select("own_name", "synonyms"), 20_000, "metric_schema")}
     known = listed(facts.select("metric", "target_metric", "company_name"), schema)
     aliases = mine_aliases(known.select(F.col("metric").alias("value"), F.col("target_metric").alias("entry"), F.col("company_name").alias("who")), entries)
-    unlisted = F.coalesce(~F.col("target_metric").isin(list(entries)), F.lit(True))
-    rows = facts.select("id", "target_metric", "metric").filter(unlisted & (present("target_metric") | present("metric")))
+    own = own_names(schema).select(F.col("own_name").alias("target_metric"))
+    rows = facts.select("id", "target_metric", "metric").filter(present("target_metric") | present("metric")).join(own, "target_metric", "left_anti")
     return canonicalize(rows, ["target_metric", "metric"], entries, aliases)
 
 

@@ -57,3 +57,25 @@ def test_aliases(spark):
 
 def test_distances_are_allowed_by_length():
     assert [allowed(n) for n in (3, 4, 9, 18, 24)] == [0, 1, 2, 3, 4] and edit_distance("ab", "ba") == 1
+
+
+def test_values_of_any_length_are_searched():
+    long = "energy used by the plants of the northern region " * 100
+    find = Canonicalizer({"Energy": [long.strip()], "Short": ["Short"]}).find
+    assert find(long.replace("plants", "plantz", 1)) == "Energy" and find(long * 2) == "unmatched"
+
+
+def test_shortened_words_of_any_number():
+    words = [f"{a}{v}{b}t" for a in "bcdf" for v in "aeiou" for b in "lmnr"]
+    name = " ".join(words[i] for i in (0, 17, 33, 50, 66, 79, 12))
+    find = Canonicalizer({"It": [name], "Other": [" ".join(words[20:40])], "All": [" ".join(words)]}).find
+    assert find(" ".join(w[:2] + "." for w in name.split())) == "It"
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("abc", min_size=1, max_size=6), min_size=1, max_size=6), st.text("abcd", max_size=6), st.integers(0, 2))
+def test_beginnings(words, query, most):
+    trie = AliasTrie()
+    for w in words:
+        trie.add(w, w)
+    assert trie.begins(query, most) == any(plain_distance(query, w[:k]) <= most for w in words for k in range(len(w) + 1))

@@ -4,10 +4,11 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quantafold.llm.encode import FOLDER, byte_table, count_tokens, decode, encode, round_trip_losses, tokenizer
 from quantafold.llm.packing import best_two_fit, fill_report, overfull, pack
-from quantafold.llm.truncation import flag_truncated, length_limits, truncation_report
+from quantafold.llm.truncation import ending, flag_truncated, length_limits, truncation_report
 
 needs_files = pytest.mark.skipif(not os.path.exists(FOLDER), reason="no tokenizer files")
 TEXTS = ["", None, " ", "Hello, world", "<|endoftext|> is ordinary", "溫室氣體排放總量", "🙂 é́ \x00​", "x" * 300_000, "Hello, world"]
@@ -96,7 +97,7 @@ def documents(spark):
 def test_cut_texts(spark):
     df, cut = documents(spark)
     made = flag_truncated(df)
-    assert made.columns == ["doc_id", "text", "source", "block_element", "at_limit", "truncated"]
+    assert made.columns == ["doc_id", "text", "source", "block_element", "at_limit", "truncated", "rule"]
     assert {r.doc_id for r in made.filter("truncated").collect()} == cut
     limits = [(r.limit_source, r.limit_kind, r.limit) for r in length_limits(df, "text", "source").collect()]
     assert ("feed", "characters", 255) in limits and all(s == "feed" for s, _, _ in limits)
@@ -125,3 +126,27 @@ def test_limits_in_bytes_and_below_strays(spark):
     assert {r.doc_id for r in made.filter("at_limit").collect()} == want
     assert {r.doc_id for r in made.filter("truncated").collect()} == want
     assert {r.source: r.at_limit for r in truncation_report(made).collect()} == {"bytes": 24, "strays": 20, "spread": 0, "mirror": 23}
+
+
+def test_notes_of_any_length_and_number_are_set_aside():
+    for note in (f"({'n' * 5000})", f"[{'n ' * 3000}]", "（見附註）" * 500, "(a) " * 2000, f"<sup>{'x' * 4000}</sup>", "&nbsp;" * 900, "<br/>" * 900, " Unit: kg CO2e per head", " — End of report", "()" * 20_000):
+        assert ending(f"A whole sentence. {note}") == (False, False), note[:20]
+        assert ending(f"A sentence that goes {note}") == (False, True), note[:20]
+    assert ending("word " * 200_000 + "en") == (False, True) and ending("(" * 100_000) == (False, True) and ending(")" * 100_000) == (False, True)
+    assert ending(None) == ending("") == ending(" \n") == (False, False) and ending("It is…") == (True, True) and ending("Ltd..") == (False, False)
+
+
+def test_rules_are_named(spark):
+    df, _ = documents(spark)
+    rules = {r.doc_id: r.rule for r in flag_truncated(df).collect()}
+    assert {rules[i] for i in range(40)} == {"length spike"} and rules[1003] == "mark" and rules[1004] == "open end" and rules[1000] is None
+
+
+@needs_files
+def test_bins_depend_on_the_rows_alone(spark):
+    df = texts(spark, [f"some words {'more ' * (k % 37)}" for k in range(400)] + ["twice the same"] * 30).unionByName(texts(spark, ["a copy of id 0"] * 1))
+    df = df.unionByName(df.limit(50))
+    kinds = spark.createDataFrame([(1, "byte_bpe_50k", 64)], "container_id int, tokenizer string, capacity_tokens int")
+    one = sorted(map(tuple, pack(df, kinds, shard_rows=60).collect()))
+    other = sorted(map(tuple, pack(df.repartition(7).orderBy(F.rand(3)), kinds, shard_rows=60).collect()))
+    assert one == other and len(one) == df.count()
