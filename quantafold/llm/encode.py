@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -56,6 +58,53 @@ def _chunks(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+_BEFORE_WORD = re.compile("(?= [A-Za-z])")
+CACHED_CHARS, CACHED_WORDS = 64, 400_000  # memory of a worker; what isn't kept is encoded again
+
+
+class WordCoder:
+    """Ids of texts by a byte-level tokenizer, each distinct word encoded once.
+
+    Byte-level vocabularies part a text before each blank that a Latin letter follows, whatever stands before it,
+    so the ids of a text are those of the pieces between such places, one after the other. Tokenizers of other kinds, with
+    a normalizer or an added blank, get whole texts.
+    """
+
+    def __init__(self, coder):
+        self.coder, self.kept = coder, {}
+        made = json.loads(coder.to_str())
+        split = made.get("pre_tokenizer") or {}
+        self.parts = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not made.get("normalizer")
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, texts: list[str]) -> list[list[int]]:
+        if not self.parts:
+            return self._whole(texts)
+        pieces = [_BEFORE_WORD.split(t) for t in texts]
+        kept = self.kept
+        new = list({p for text in pieces for p in text if p not in kept})
+        extra = dict(zip(new, self._whole(new), strict=True))
+        if len(kept) + len(extra) <= CACHED_WORDS:
+            kept.update((p, i) for p, i in extra.items() if len(p) <= CACHED_CHARS)
+        made = []
+        for text in pieces:
+            ids: list[int] = []
+            for p in text:
+                ids += kept[p] if p in kept else extra[p]
+            made.append(ids)
+        return made
+
+
+def word_coder(name: str = DEFAULT, folder: str = FOLDER) -> WordCoder:
+    """The WordCoder of a file, one per process."""
+    key = os.path.join(folder, f"{name} by words")
+    if key not in _loaded:
+        _loaded[key] = WordCoder(tokenizer(name, folder))
+    return _loaded[key]
+
+
 def encode(texts: DataFrame, text: str = "text", name: str = DEFAULT, folder: str = FOLDER, output: str = "ids", offsets: bool = False, batch_chars: int = 2_000_000) -> DataFrame:
     """All rows of *texts* with *output*, the token ids of the whole text, without special tokens.
 
@@ -74,15 +123,16 @@ def encode(texts: DataFrame, text: str = "text", name: str = DEFAULT, folder: st
     pairs = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = tokenizer(name, folder)
+        coder, by_words = tokenizer(name, folder), word_coder(name, folder)
         for batch in batches:
             column = [t or "" for t in batch.column(place).to_pylist()]
             for a, b in _chunks(column, batch_chars):
-                done = coder.encode_batch_fast(column[a:b], add_special_tokens=False) if not offsets else coder.encode_batch(column[a:b], add_special_tokens=False)
                 part = batch.slice(a, b - a)
-                more = [pa.array([e.ids for e in done], pa.list_(pa.int32()))]
                 if offsets:
-                    more.append(pa.array([[{"start": s, "end": t} for s, t in e.offsets] for e in done], pairs))
+                    done = coder.encode_batch(column[a:b], add_special_tokens=False)
+                    more = [pa.array([e.ids for e in done], pa.list_(pa.int32())), pa.array([[{"start": s, "end": t} for s, t in e.offsets] for e in done], pairs)]
+                else:
+                    more = [pa.array(by_words(column[a:b]), pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], names=out.names)
 
     return texts.mapInArrow(run, out)
@@ -94,8 +144,8 @@ def counter(name: str = DEFAULT, folder: str = FOLDER):
     if path in _loaded:
         return _loaded[path]
     if os.path.exists(f"{path}.json"):
-        coder = tokenizer(name, folder)
-        made = lambda texts: [len(e) for e in coder.encode_batch_fast(texts, add_special_tokens=False)]
+        by_words = word_coder(name, folder)
+        made = lambda texts: [len(ids) for ids in by_words(texts)]
     elif os.path.exists(f"{path}.tiktoken"):
         import base64
 

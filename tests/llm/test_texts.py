@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quantafold.llm.encode import FOLDER, byte_table, count_tokens, decode, encode, round_trip_losses, tokenizer
+from quantafold.llm.encode import FOLDER, WordCoder, byte_table, count_tokens, decode, encode, round_trip_losses, tokenizer, word_coder
 from quantafold.llm.packing import best_two_fit, fill_report, overfull, pack
 from quantafold.llm.truncation import ending, flag_truncated, length_limits, truncation_report
 
@@ -150,3 +150,12 @@ def test_bins_depend_on_the_rows_alone(spark):
     one = sorted(map(tuple, pack(df, kinds, shard_rows=60).collect()))
     other = sorted(map(tuple, pack(df.repartition(7).orderBy(F.rand(3)), kinds, shard_rows=60).collect()))
     assert one == other and len(one) == df.count()
+
+
+@needs_files
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.one_of(st.sampled_from(" \t\n\u00a0\u3000\x1c\u0085'aAzé量1.,-<|>s"), st.characters(exclude_categories=("Cs",))), max_size=40), max_size=5))
+def test_ids_by_words_are_those_of_the_whole(values):
+    coder = tokenizer()
+    assert WordCoder(coder)(values) == [coder.encode(v, add_special_tokens=False).ids for v in values]
+    assert word_coder("word_bpe_49k")(values) == [tokenizer("word_bpe_49k").encode(v, add_special_tokens=False).ids for v in values]
