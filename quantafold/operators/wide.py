@@ -17,6 +17,9 @@ _NUMPY = {"double": np.float64, "bigint": np.int64, "string": object}
 _ARROW = {"double": pa.float64(), "bigint": pa.int64(), "string": pa.string()}
 
 
+MOST_IN_RANGE = 2_000_000  # places of all columns of one ordinal range, so that a task's memory doesn't follow the number of attributes
+
+
 def _ordinals(cells: DataFrame, keys: list[str], buckets: int) -> DataFrame:
     """Adds `_ordinal`: 0, 1, 2, ... over the entities, gapless over the whole table.
 
@@ -64,11 +67,10 @@ def stitch(rows: DataFrame, keys: list[str], attribute: str, value: str, columns
         while name.lower() in taken:
             name += "_value"
         headings.append(name)
-    number = F.element_at(F.create_map(*[x for k, c in enumerate(names) for x in (F.lit(c), F.lit(k))]), F.col(attribute)) if len(names) < 200 else None
     picked = rows.select(*keys, F.col(attribute).alias("_attribute"), F.col(value).alias("_value"))
     if not every:
         picked = picked.filter(F.col("_attribute").isin(names))
-    if number is None:
+    if len(names) >= 200:  # a literal map of so many would make the generated code long
         places = rows.sparkSession.createDataFrame(list(enumerate(names)), "_place int, _attribute string")
         picked = picked.join(F.broadcast(places), "_attribute", "left")
     else:
@@ -92,6 +94,7 @@ def stitch(rows: DataFrame, keys: list[str], attribute: str, value: str, columns
     cells = picked.groupBy(*keys, "_place").agg(F.min("_value").alias("_low"), F.max("_value").alias("_high"))
     cells = cells.select(*keys, "_place", "_low", F.coalesce(F.col("_low") != F.col("_high"), F.lit(False)).alias("_several"))
     placed = _ordinals(cells, keys, buckets).select("_bucket", "_ordinal", *keys, "_place", "_low", "_several")
+    span = max(1, min(span, MOST_IN_RANGE // max(len(names), 1)))
     ordered = placed.repartition(buckets, "_bucket").sortWithinPartitions("_bucket", "_ordinal")
     key_fields = [f for k in keys for f in cells.schema.fields if f.name == k]
     out = StructType([StructField("ordinal", LongType()), *[StructField(f.name, f.dataType) for f in key_fields], *[StructField(n, _SPARK[k]) for n, k in zip(headings, kinds, strict=True)], StructField("conflicts", ArrayType(StringType()))])
