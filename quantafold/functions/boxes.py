@@ -165,3 +165,26 @@ def polygon_area(xs, ys) -> Column:
     turn = lambda a: F.concat(F.slice(a, 2, F.size(a) - 1), F.slice(a, 1, 1))
     cross = F.zip_with(F.zip_with(xs, turn(ys), lambda a, b: a * b), F.zip_with(turn(xs), ys, lambda a, b: a * b), lambda a, b: a - b)
     return F.abs(F.aggregate(cross, F.lit(0.0), lambda s, v: s + v)) / 2
+
+
+def inside(inner, outer) -> Column:
+    """Whether *inner* lies wholly within *outer*, edges included."""
+    a, b = _b(inner), _b(outer)
+    return (a["x0"] >= b["x0"]) & (a["y0"] >= b["y0"]) & (a["x1"] <= b["x1"]) & (a["y1"] <= b["y1"])
+
+
+def relative(b, width, height) -> Column:
+    """Coordinates as shares of the page's extent."""
+    return scale(b, 1.0 / width, 1.0 / height)
+
+
+def from_crop(b, sx: float, sy: float, left: float, top: float) -> Column:
+    """A box of a crop in coordinates of its page: scaled, then moved to where the crop begins."""
+    s = scale(b, sx, sy)
+    return box(s["x0"] + left, s["y0"] + top, s["x1"] + left, s["y1"] + top)
+
+
+def on_edge(b, most: float = 1000.0) -> Column:
+    """Whether any normalised coordinate lies at the page's edge or beyond."""
+    b = _b(b)
+    return (b["x0"] <= 0) | (b["y0"] <= 0) | (b["x1"] >= most) | (b["y1"] >= most)

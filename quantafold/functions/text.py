@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import difflib
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,22 +88,31 @@ def plain_metric(column: str | Column) -> Column:
     return F.regexp_replace(c, r"^[ –—•-]+|[ –—•-]+$", "")
 
 
-def metric_kind(metric: str | Column, unit: str | Column) -> Column:
-    """One of five classes by name and unit: share, intensity, money, count, absolute."""
-    m, u = F.lower(F.coalesce(_c(metric), F.lit(""))), F.lower(F.coalesce(_c(unit), F.lit("")))
+def metric_kind(metric: str | Column) -> Column:
+    """What a metric's name says it's divided by: production, revenue or employees, something else ('intensity'), or nothing."""
+    m = F.coalesce(_c(metric), F.lit(""))
     return (
-        F.when(u.rlike(r"%|％|‰|percent|per cent|pct|per mille|fraction|ratio") | m.rlike(r"\b(?:rate|ratio|proportion|percentage)\b"), "share")
-        .when(u.rlike(r"/|\bper\b") | m.rlike(r"intensity|\bper\b"), "intensity")
-        .when(u.rlike(r"hk\$|hkd|usd|us\$|rmb|cny|dollar|港元|人民幣"), "money")
-        .when(u.rlike(r"person|people|employee|headcount|case|hour|人|宗|小時"), "count")
-        .otherwise("absolute")
+        F.when(~m.rlike("(?i)intensity|density| per"), "not_intensity")
+        .when(m.rlike("(?i)per production"), "per_production_intensity")
+        .when(m.rlike("(?i)per revenue"), "per_revenue_intensity")
+        .when(m.rlike("(?i)per employee"), "per_employee_intensity")
+        .otherwise("intensity")
     )
 
 
-def with_divisor(metric: str | Column, unit: str | Column) -> Column:
-    """An intensity metric's name with what its unit divides by."""
-    u = F.lower(F.coalesce(_c(unit), F.lit("")))
-    return F.concat(_c(metric), F.when(u.rlike(r"(?:/|per ) ?(?:employee|person|head)|/僱員"), " per employee").when(u.rlike(r"(?:/|per ) ?(?:m2|m²|sq)|/平方米"), " per area").when(u.rlike(r"(?:/|per ).*(?:hkd|revenue|rmb|usd)"), " per revenue").otherwise(""))
+def with_divisor(metric: str | Column, unit: str | Column, per: str, per_unit: str, revenue: str, production: str, staff: str) -> Column:
+    """The plain name of a metric; of one that *per* in its name or *per_unit* in its unit tells to be an intensity, with what it's divided
+    by, told by the words of *revenue*, *production* and *staff* in name or unit, else with its unit. Null counts as empty."""
+    m, u = F.coalesce(_c(metric), F.lit("")), F.coalesce(_c(unit), F.lit(""))
+    plain, both = plain_metric(m), F.concat(m, u)
+    has = lambda c, words: c.rlike(f"(?i){words}")
+    return (
+        F.when(~(has(m, per) | has(u, per_unit)), plain)
+        .when(has(both, revenue), F.when(has(m, "MtCO2e"), plain).otherwise(F.concat(plain, F.lit(" per revenue"))))
+        .when(has(both, production), F.concat(plain, F.lit(" per production")))
+        .when(has(both, staff), F.concat(plain, F.lit(" per employee")))
+        .otherwise(plain_metric(F.concat(m, F.lit(" "), u)))
+    )
 
 
 def split_cell(value: str | Column, metric: str | Column) -> Column:
@@ -124,6 +137,12 @@ def file_facts(filename: str | Column) -> Column:
     )
 
 
+def file_company(filename: str | Column) -> Column:
+    """The company in a report's file name: the part before the first underscore that isn't a number; null where there's no such part."""
+    parts = F.split(_c(filename), "_")
+    return F.when(F.size(parts) > 1, F.get(F.filter(F.slice(parts, 1, F.size(parts) - 1), lambda p: ~p.rlike(r"^\d+$") & (p != "")), F.lit(0)))
+
+
 def sentence_year(sentence: str | Column, default: str | Column) -> Column:
     """The first year written in a sentence, else *default*."""
     return F.coalesce(F.regexp_extract(_c(sentence), r"(?:^|[^0-9])((?:19|20)[0-9][0-9])(?:[^0-9]|$)", 1).try_cast("int"), _c(default))
@@ -174,3 +193,102 @@ def occurrences(column: str | Column, literal: str) -> Column:
     c, n = _c(column), len(literal)
     at = F.when(F.char_length(c) >= n, F.filter(F.sequence(F.lit(1), F.char_length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)) == literal)).otherwise(F.array().cast("array<int>"))
     return F.transform(at, lambda i: F.struct((i - 1).alias("start"), (i - 1 + n).alias("end")))
+
+
+def around(column: str | Column, entity: str) -> Column:
+    """The fragments before, between and behind an entity's occurrences, in order; null for null."""
+    return F.split(_c(column), F.lit(rf"\Q{entity}\E"), F.lit(-1))
+
+
+def fragments(column: str | Column, entity: str) -> Column:
+    """array<struct(kind, start, end)>: fragments that aren't empty ('normal') and entities with their [start, end), in order."""
+    parts, n = around(column, entity), len(entity)
+    place = lambda p, i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda s, x: s + F.char_length(x)) + i * n
+    made = F.transform(parts, lambda p, i: F.array(
+        F.when(p != "", F.struct(F.lit("normal").alias("kind"), place(p, i).alias("start"), (place(p, i) + F.char_length(p)).alias("end"))),
+        F.when(i < F.size(parts) - 1, F.struct(F.lit("entity").alias("kind"), (place(p, i) + F.char_length(p)).alias("start"), (place(p, i) + F.char_length(p) + n).alias("end"))),
+    ))
+    return F.array_compact(F.flatten(made))
+
+
+def matches(column: str | Column, pattern: str) -> Column:
+    """array<struct(match, first, last)>: the matches of a pattern without groups, with their first and last character."""
+    parts, found = F.split(_c(column), pattern, -1), F.regexp_extract_all(_c(column), F.lit(f"({pattern})"), 1)
+    length = lambda a, k: F.aggregate(F.slice(a, F.lit(1), k), F.lit(0), lambda s, x: s + F.char_length(x))
+    return F.transform(found, lambda m, i: F.struct(m.alias("match"), (length(parts, i + 1) + length(found, i)).alias("first"), (length(parts, i + 1) + length(found, i + 1) - 1).alias("last")))
+
+
+def without_marks(column: str | Column) -> Column:
+    """Box drawing, block and geometric characters and those of private use become underscores."""
+    return F.regexp_replace(_c(column), r"[\x{2500}-\x{25FF}\x{E000}-\x{F8FF}]", "_")
+
+
+def camel_split(column: str | Column) -> Column:
+    """Words run together in camel case parted by blanks."""
+    return F.regexp_replace(_c(column), "([a-z])([A-Z])", "$1 $2")
+
+
+def without_punctuation(column: str | Column) -> Column:
+    """The ASCII punctuation taken out."""
+    return F.regexp_replace(_c(column), r"[!-/:-@\[-`{-~]", "")
+
+
+def spaced(column: str | Column) -> Column:
+    """The forms of a word with a blank at each place within; none for words of one character."""
+    c = _c(column)
+    return F.when(F.char_length(c) > 1, F.transform(F.sequence(F.lit(1), F.char_length(c) - 1), lambda i: F.concat(F.substring(c, F.lit(1), i), F.lit(" "), F.substring(c, i + 1, F.char_length(c))))).otherwise(F.array().cast("array<string>"))
+
+
+def phrases(column: str | Column) -> Column:
+    """A text parted at semicolons and at `and` and `or`; blank pieces are no phrases."""
+    return F.filter(F.split(_c(column), r";\s*|\s+(?:and|or)\s+"), lambda s: F.trim(s) != "")
+
+
+def tag_raised(column: str | Column) -> Column:
+    """The digits of m2, m3, CO2 tagged as raised or lowered."""
+    return F.regexp_replace(_c(column), r"\b(m|CO)([23])", "$1<s>$2</s>")
+
+
+def bioes(pos: str | Column, n: str | Column) -> Column:
+    """The prefix of a tag by a word's place: single, first, last or inner."""
+    p, k = _c(pos), _c(n)
+    return F.when(k == 1, "S-").when(p == 0, "B-").when(p == k - 1, "E-").otherwise("I-")
+
+
+def quantity_in(column: str | Column, units: str) -> Column:
+    """struct(number, unit) of the first number that one of *units* (a pattern) follows; null where there's none."""
+    pattern = rf"(\d+(?:\.\d+)?) ({units})"
+    number = F.regexp_extract(_c(column), pattern, 1)
+    return F.when(number != "", F.struct(number.cast("double").alias("number"), F.regexp_extract(_c(column), pattern, 2).alias("unit")))
+
+
+def follows(label: Column, next_: Column, kind: Column) -> Column:
+    """Whether a label is the successor of another: of kind 'number', 'letter' or 'roman'; false for null and other kinds."""
+    step = F.when(kind == "number", next_.try_cast("int") - label.try_cast("int")).when(kind == "letter", F.ascii(F.lower(next_)) - F.ascii(F.lower(label))).when(kind == "roman", roman(next_) - roman(label))
+    return F.coalesce(step == 1, F.lit(False))
+
+
+def section_level(column: str | Column, otherwise: Column) -> Column:
+    """The level of a heading by the depth of its number; *otherwise* where no number begins the text."""
+    c = _c(column)
+    return F.when(c.rlike(r"^\d+\.\d+\.\d+"), "section 3").when(c.rlike(r"^\d+\.\d+"), "section 2").when(c.rlike(r"^\d+\.? "), "section 1").otherwise(otherwise)
+
+
+def ascii_of(column: str | Column) -> Column:
+    """A text decomposed by compatibility, what isn't ASCII left out; null for null."""
+
+    @F.pandas_udf("string")
+    def strip(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())
+
+    return strip(_c(column))
+
+
+def block_ratio(a: str | Column, b: str | Column) -> Column:
+    """Likeness of two texts by their matching blocks, 0 to 1; null where either is null."""
+
+    @F.pandas_udf("double")
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if s is None or t is None else difflib.SequenceMatcher(None, s, t, autojunk=False).ratio() for s, t in zip(x, y, strict=True)], dtype="float64")
+
+    return ratio(_c(a), _c(b))

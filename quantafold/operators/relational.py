@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 LOOKUPS = {
     "exact": lambda c, v: c == v,
     "in": lambda c, v: c.isin(list(v)),
@@ -123,18 +125,42 @@ def carry_forward(df: DataFrame, partition: list[str], order: list[str], column:
     return df.withColumn(name, F.last(column, ignorenulls=True).over(Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def first_seen(df: DataFrame, value: str, order: list[str], name: str = "first_seen") -> DataFrame:
-    """Whether a row is the first of its value, in *order*."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(value).orderBy(*order)) == 1)
+def first_seen(df: DataFrame, value: str, key: str, name: str = "first_seen") -> DataFrame:
+    """Whether a row's *key* is the least among those of its value; null is a value like others, equal keys are all first.
+
+    By a digest of the value, whose least key is found by partial minima, so neither long values nor one that a third of
+    the rows hold are brought together.
+    """
+    marked = df.withColumn("_digest", F.coalesce(F.md5(F.col(value).cast("string")), F.lit("")))
+    least = marked.groupBy("_digest").agg(F.min(key).alias("_least"))
+    return marked.join(least, "_digest").withColumn(name, F.col(key) == F.col("_least")).drop("_digest", "_least")
+
+
+def positions(df: DataFrame, partition: list[str], order: list[str | Column], name: str, ties: bool = False) -> DataFrame:
+    """Numbers the rows of each partition in order from 1; with *ties* rows alike in *order* get the first number of them.
+
+    Rows are laid out by range of partition and order, numbered within each range, and a range's numbers begin where those of
+    the ranges before it end, so one partition that holds most rows is numbered by many tasks. Rows alike in partition and
+    order lie in one range. Null keys make a partition of their own. *order* must be total for a stable result without *ties*.
+    """
+    sorts = [F.col(c) if isinstance(c, str) else c for c in order]
+    buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    laid = cut(df.withColumn("_key", F.struct(*partition)).repartitionByRange(buckets, "_key", *sorts).withColumn("_part", F.spark_partition_id()))
+    counts = laid.groupBy("_part", "_key").agg(F.count("*").alias("_n"))
+    firsts = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("_key").orderBy("_part")) - F.col("_n")).drop("_n")
+    within = Window.partitionBy("_part", "_key").orderBy(*sorts)
+    local = laid.withColumn("_local", F.rank().over(within) if ties else F.row_number().over(within))
+    placed = local.alias("l").join(firsts.alias("f"), (F.col("l._part") == F.col("f._part")) & F.col("l._key").eqNullSafe(F.col("f._key")))
+    return placed.select(*[F.col(f"l.`{c}`") for c in df.columns], (F.col("_before") + F.col("_local")).alias(name))
 
 
 def batches(df: DataFrame, partition: list[str], order: list[str], size: int, name: str = "batch", full_only: bool = False) -> DataFrame:
     """Numbers blocks of *size* rows in order within each partition, from 0; *full_only* drops the rest."""
-    w = Window.partitionBy(*partition)
-    made = df.withColumn(name, F.floor((F.row_number().over(w.orderBy(*order)) - 1) / F.lit(size)))
+    made = positions(df, partition, order, "_at").withColumn(name, F.floor((F.col("_at") - 1) / F.lit(size)))
     if full_only:
-        made = made.withColumn("_all", F.count("*").over(w)).filter((F.col(name) + 1) * size <= F.col("_all")).drop("_all")
-    return made
+        whole = df.groupBy(*partition).agg(F.count("*").alias("_all"))
+        made = made.join(whole, partition).filter((F.col(name) + 1) * size <= F.col("_all")).select(*df.columns, name)
+    return made.drop("_at")
 
 
 def shard_ranges(total: int, shards: int) -> list[tuple[int, int]]:
@@ -153,3 +179,62 @@ def any_of_equal(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]
     """Rows of *left* and *right* that agree in at least one of *pairs*: a union of equi-joins instead of an OR join; *key* tells the rows of the result apart."""
     parts = [left.join(right, left[a].cast("string") == right[b].cast("string")) for a, b in pairs]
     return reduce(lambda a, b: a.unionByName(b), parts).dropDuplicates([key])
+
+
+def least_k(df: DataFrame, keys: list[str], order: str, k: int, payload: list[str]) -> DataFrame:
+    """The *k* rows of least *order* per key, with *payload*, ties by payload; nulls of *order* come first.
+
+    A rank under a limit: Spark keeps at most *k* rows per key and partition before it shuffles, so a hot key weighs little.
+    """
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order, *payload))
+    return df.select(*keys, order, *payload).withColumn("_rn", rank).filter(F.col("_rn") <= k).drop("_rn")
+
+
+def any_contains(column: str, words: list[str]) -> Column:
+    """Whether the column holds one of the words, case aside; null where the column is null."""
+    low = F.lower(F.col(column))
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w.lower())) for w in words], F.lit(False))
+
+
+def valid_relation(head: str, relation: str, tail: str, allowed: dict[tuple[str, str], list[str]]) -> Column:
+    """Whether a relation may lead from its head's type to its tail's: (head, relation) -> tails; false for null."""
+    terms = [(F.col(head) == h) & (F.col(relation) == r) & F.col(tail).isin(tails) for (h, r), tails in allowed.items()]
+    return F.coalesce(reduce(lambda a, b: a | b, terms, F.lit(False)), F.lit(False))
+
+
+def in_a_row(df: DataFrame, partition: list[str], order: list[str], time: str, kinds: list[Column], gaps: list[float]) -> DataFrame:
+    """The rows that begin a pattern: each row from there on is of the next of *kinds*, at most the next of *gaps* seconds behind the one before."""
+    w = Window.partitionBy(*partition).orderBy(*order)
+    marked, terms = df.withColumn("_t", F.col(time).cast("timestamp").cast("double")), []
+    for k, kind in enumerate(kinds):
+        marked = marked.withColumn(f"_k{k}", kind)
+    for k in range(len(kinds)):
+        terms.append(F.lead(f"_k{k}", k).over(w) if k else F.col("_k0"))
+        if k:
+            terms.append(F.lead("_t", k).over(w) - (F.lead("_t", k - 1).over(w) if k > 1 else F.col("_t")) <= gaps[k - 1])
+    met = reduce(lambda a, b: a & b, terms)
+    return marked.withColumn("_met", F.coalesce(met, F.lit(False))).filter("_met").select(*df.columns)
+
+
+def paired_triples(df: DataFrame, partition: list[str], order: list[str], id_: str, first: Column, second: Column) -> DataFrame:
+    """`number_id`, `measure_id`, `keyword_id` of nine rows in order of which the first six go *first*, *second* by turns: three rows each."""
+    w = Window.partitionBy(*partition).orderBy(*order)
+    marked = df.withColumn("_f", first).withColumn("_s", second)
+    at = lambda c, k: F.lead(c, k).over(w) if k else F.col(c)
+    made = marked.select(*partition, *[at(id_, k).alias(f"_e{k}") for k in range(9)], reduce(lambda a, b: a & b, [at("_s" if k % 2 else "_f", k) for k in range(6)]).alias("_met"))
+    triples = F.explode(F.array(*[F.struct(F.col(f"_e{2 * k}").alias("number_id"), F.col(f"_e{2 * k + 1}").alias("measure_id"), F.col(f"_e{6 + k}").alias("keyword_id")) for k in range(3)])).alias("_t")
+    return made.filter("_met AND _e8 IS NOT NULL").select(*partition, triples).select(*partition, "_t.*")
+
+
+def interleave(df: DataFrame, source: str, order: list[str], ratios: dict[str, float], name: str = "slot") -> DataFrame:
+    """Numbers for mixing sources by *ratios*: the k-th row of a source stands at k / ratio; rows of sources without one are left out."""
+    placed = positions(df.filter(F.col(source).isin(list(ratios))), [source], order, "_k")
+    ratio = F.element_at(F.create_map(*[F.lit(x) for kv in ratios.items() for x in kv]), F.col(source))
+    return placed.withColumn(name, F.col("_k") / ratio).drop("_k")
+
+
+def enrich(rows: DataFrame, records: DataFrame, keys: list[str]) -> DataFrame:
+    """*rows* with the record of their keys; a row without one makes the query fail when it's run."""
+    made = rows.join(records.withColumn("_there", F.lit(True)), keys, "left")
+    checked = F.when(F.col("_there").isNull(), F.raise_error(F.concat(F.lit("no record for "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])))).otherwise(F.col("_there"))
+    return made.withColumn("_there", checked).filter("_there").drop("_there")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes as B
 from ..operators import detection as D
-from ..operators.vectors import best_matches, cosine, hashed_grams, top_matches
+from ..operators.vectors import best_matches, block_matches, hashed_grams, top_matches
 from ..sources.tables import table
 from .register import Register
 
@@ -136,25 +136,33 @@ def segmentation_scores(spark, d):
 
 @queries("average_precision", """WITH r AS (SELECT event_type AS category, value AS score, event_id, CASE WHEN user_id % 3 = 0 THEN 1 ELSE 0 END AS hit FROM events), n AS (SELECT category, count(*) FILTER (hit = 1) AS n FROM r GROUP BY 1),
 w AS (SELECT r.category, score, event_id, sum(hit) OVER v AS tp, row_number() OVER v AS k, n.n FROM r JOIN n USING (category) WINDOW v AS (PARTITION BY r.category ORDER BY score DESC, event_id ROWS UNBOUNDED PRECEDING)),
-e AS (SELECT category, max(tp / k) OVER (PARTITION BY category ORDER BY score DESC, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS best, tp / n - coalesce(lag(tp / n) OVER (PARTITION BY category ORDER BY score DESC, event_id), 0) AS step FROM w)
-SELECT category, round(sum(best * step), 6) AS ap FROM e GROUP BY category""")
+e AS (SELECT category, max(tp / k) OVER (PARTITION BY category ORDER BY score, event_id DESC ROWS UNBOUNDED PRECEDING) AS best, tp / n - coalesce(lag(tp / n) OVER (PARTITION BY category ORDER BY score DESC, event_id), 0) AS step FROM w),
+p AS (SELECT category, t, coalesce(max(tp / k) FILTER (tp * 10 >= t * n), 0) AS best FROM w, range(11) AS x(t) GROUP BY 1, 2)
+SELECT category, ap, ap11 FROM (SELECT category, round(sum(best * step), 6) AS ap FROM e GROUP BY category) JOIN (SELECT category, round(avg(best), 6) AS ap11 FROM p GROUP BY category) USING (category)""")
 def average_precision(spark, d):
     rows = table(spark, d, "events").select(F.col("event_type").alias("category"), F.col("value").alias("score"), "event_id", F.when(F.col("user_id") % 3 == 0, 1).otherwise(0).alias("hit"))
     positives = rows.groupBy("category").agg(F.sum("hit").alias("n"))
-    return D.average_precision(rows, "category", "score", "hit", ["event_id"], positives).select("category", F.round("ap", 6).alias("ap"))
+    return D.average_precision(rows, "category", "score", "hit", ["event_id"], positives).select("category", F.round("ap", 6).alias("ap"), F.round("ap11", 6).alias("ap11"))
 
 
-@queries("block_verdict", f"""WITH {BOX_SQL}, x AS (SELECT p.page, p.obj_id, max(({INTER}) / {AREA.format('p')}) AS iog, max(({INTER}) / {AREA.format('q')}) AS iod, count(*) FILTER (({INTER}) / {AREA.format('q')} >= 2 / 3) AS parts FROM b p LEFT JOIN b q ON p.page = q.page AND q.side = 'O' WHERE p.side = 'F' GROUP BY ALL)
-SELECT page, obj_id, CASE WHEN coalesce(iog, 0) >= 2/3 AND coalesce(iod, 0) >= 2/3 THEN 'correct' WHEN coalesce(iog, 0) >= 2/3 THEN 'merge' WHEN parts > 1 THEN 'split' WHEN coalesce(iod, 0) >= 2/3 THEN 'part' ELSE 'miss' END AS verdict FROM x""")
+VERDICT_SQL = f"""x AS (SELECT p.page, p.obj_id AS t_id, q.obj_id AS f_id, ({INTER}) / {AREA.format('p')} AS iog, ({INTER}) / {AREA.format('q')} AS iod FROM b p JOIN b q ON p.page = q.page AND p.side = 'F' AND q.side = 'O'),
+v AS (SELECT b.page, b.obj_id, CASE WHEN coalesce(max(iog), 0) = 0 THEN 'miss' WHEN max(iog) >= 2 / 3 AND max(iod) >= 2 / 3 THEN 'correct' WHEN max(iod) >= 2 / 3 THEN 'split' WHEN max(iog) >= 2 / 3 THEN 'merge' ELSE 'split&merge' END AS verdict FROM b LEFT JOIN x ON x.page = b.page AND x.t_id = b.obj_id WHERE side = 'F' GROUP BY ALL
+ UNION ALL SELECT b.page, b.obj_id, 'false' FROM b LEFT JOIN x ON x.page = b.page AND x.f_id = b.obj_id WHERE side = 'O' GROUP BY ALL HAVING coalesce(max(iog), 0) = 0)"""
+
+
+@queries("block_verdict", f"WITH {BOX_SQL}, {VERDICT_SQL} SELECT * FROM v")
 def block_verdict(spark, d):
-    """How each true block was found: correct, merged with others, split, in part, or missed."""
+    """How each true block was found: correct, split, merge, split&merge or miss; and the found blocks that meet no true one: false."""
     made = detections(spark, d)
-    found = made.filter("side = 'O'").select("page", F.col("box").alias("found"))
-    two_thirds = F.lit(2.0) / F.lit(3.0)
-    agg = made.filter("side = 'F'").join(found, "page", "left").groupBy("page", "obj_id").agg(
-        F.coalesce(F.max(B.covered("box", "found")), F.lit(0.0)).alias("iog"), F.coalesce(F.max(B.covered("found", "box")), F.lit(0.0)).alias("iod"), F.count_if(B.covered("found", "box") >= two_thirds).alias("parts"))
-    verdict = F.when((F.col("iog") >= two_thirds) & (F.col("iod") >= two_thirds), "correct").when(F.col("iog") >= two_thirds, "merge").when(F.col("parts") > 1, "split").when(F.col("iod") >= two_thirds, "part").otherwise("miss")
-    return agg.select("page", "obj_id", verdict.alias("verdict"))
+    return D.block_verdicts(made.filter("side = 'O'"), made.filter("side = 'F'"), ["page"])
+
+
+@queries("block_scores", f"""WITH {BOX_SQL}, {VERDICT_SQL}, c AS (SELECT count(*) FILTER (verdict = 'correct') AS correct, count(*) FILTER (verdict = 'miss') AS miss, count(*) AS n FROM v)
+SELECT correct, miss, n, round(correct / (n - miss), 6) AS "precision", round(correct / (correct + miss), 6) AS recall FROM c""")
+def block_scores(spark, d):
+    """The sums of the verdicts and what precision and recall follow."""
+    c = block_verdict(spark, d).agg(F.count_if(F.col("verdict") == "correct").alias("correct"), F.count_if(F.col("verdict") == "miss").alias("miss"), F.count("*").alias("n"))
+    return c.select("correct", "miss", "n", F.round(F.try_divide("correct", F.col("n") - F.col("miss")), 6).alias("precision"), F.round(F.try_divide("correct", F.col("correct") + F.col("miss")), 6).alias("recall"))
 
 
 @queries("table_statistics", """WITH t AS (SELECT l_orderkey AS table_id, count(DISTINCT l_linenumber) AS rows_, count(DISTINCT l_returnflag) AS cols, count(*) AS cells, stddev_samp(l_quantity) / avg(l_quantity) AS cv, count(*) AS n FROM lineitem GROUP BY 1)
@@ -197,8 +205,7 @@ def outer_tags(spark, d):
     return made.select("page", "obj_id", F.when((F.col("page") % 7 != 1) & ((F.col("box.y1") <= 120) | (F.col("box.y1") >= 920)), "margin").otherwise(F.col("label")).alias("tag"))
 
 
-NORM = "sqrt(list_dot_product({0}.embedding, {0}.embedding))"
-COS = "(list_dot_product(a.embedding, b.embedding) / (sqrt(list_dot_product(a.embedding, a.embedding)) * sqrt(list_dot_product(b.embedding, b.embedding))))"
+COS = "(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))))"
 
 
 @queries("cosine_best", f"""WITH b AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0) SELECT b.vec_id, arg_max(a.vec_id, (round({COS}, 5), -a.vec_id)) AS best FROM embeddings a JOIN b ON a.vec_id <> b.vec_id GROUP BY 1""")
@@ -217,18 +224,17 @@ def cosine_top3(spark, d):
 @queries("group_cosine", f"""WITH b AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0), g AS (SELECT b.vec_id, a.label AS lab, max({COS}) AS c FROM embeddings a JOIN b ON a.vec_id <> b.vec_id GROUP BY 1, 2) SELECT vec_id, arg_max(lab, (round(c, 5), -lab)) AS label FROM g GROUP BY 1""")
 def group_cosine(spark, d):
     """The group whose nearest member is nearest."""
-    a = table(spark, d, "embeddings").filter("vec_id % 20 = 0").select("vec_id", "embedding")
-    b = table(spark, d, "embeddings").select(F.col("vec_id").alias("other"), F.col("embedding").alias("ref"), F.col("label"))
-    scored = a.join(b, F.col("vec_id") != F.col("other")).groupBy("vec_id", "label").agg(F.max(cosine("embedding", "ref")).alias("c"))
-    return scored.groupBy("vec_id").agg(F.max_by("label", F.struct(F.round("c", 5), -F.col("label"))).alias("label"))
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    per = block_matches(vectors.filter("vec_id % 20 = 0"), vectors, "vec_id", "embedding", group="label")
+    return per.groupBy("vec_id").agg(F.max_by("label", F.struct("likeness", -F.col("label"))).alias("label"))
 
 
 @queries("topic_scores", f"""WITH t AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0) SELECT b.vec_id AS topic, round(greatest(max({COS}), 0), 5) AS score FROM t b JOIN embeddings a ON a.vec_id <> b.vec_id GROUP BY 1""")
 def topic_scores(spark, d):
     """How well each topic's seed is covered by any vector."""
-    seeds = table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("topic"), F.col("embedding").alias("seed"))
-    pairs = table(spark, d, "embeddings").join(seeds, F.col("vec_id") != F.col("topic"))
-    return pairs.groupBy("topic").agg(F.round(F.greatest(F.max(cosine("embedding", "seed")), F.lit(0.0)), 5).alias("score"))
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    near = best_matches(vectors.filter("vec_id % 20 = 0"), vectors, "vec_id", "embedding")
+    return near.select(F.col("vec_id").alias("topic"), F.round(F.greatest("likeness", F.lit(0.0)), 5).alias("score"))
 
 
 @queries("hashed_encoder")

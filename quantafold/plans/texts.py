@@ -20,8 +20,7 @@ def parse_number(spark, d):
     return table(spark, d, "environment_info").select("id", T.to_number("value").alias("number"))
 
 
-@queries("percent_scale", """SELECT id, round(converted_value * CASE WHEN regexp_matches(unit, '^(?:%|％|pct|per ?cent)$') THEN 0.01::DOUBLE WHEN regexp_matches(unit, '^(?:‰|per mille)$') THEN 0.001::DOUBLE ELSE 1.0::DOUBLE END, 6) AS fraction
-FROM environment_info WHERE abs(converted_value) < 1e6""")
+@queries("percent_scale", """SELECT id, round(converted_value * CASE WHEN regexp_matches(unit, '^(?:%|％|pct|per ?cent)$') THEN 0.01::DOUBLE WHEN regexp_matches(unit, '^(?:‰|per mille)$') THEN 0.001::DOUBLE ELSE 1.0::DOUBLE END, 6) AS fraction FROM environment_info""")
 def percent_scale(spark, d):
     """The quantity of every row as a fraction where its unit is a share; null where it has none."""
     return table(spark, d, "environment_info").select("id", F.round(T.share_scale("converted_value", "unit"), 6).alias("fraction"))
@@ -43,18 +42,27 @@ def plain_metrics(spark, d):
     return table(spark, d, "environment_info").select("id", T.plain_metric("metric").alias("plain"))
 
 
-@queries("metric_label", """WITH x AS (SELECT id, lower(coalesce(metric, '')) AS m, lower(coalesce(unit, '')) AS u FROM environment_info)
-SELECT id, CASE WHEN regexp_matches(u, '%|％|‰|percent|per cent|pct|per mille|fraction|ratio') OR regexp_matches(m, '\\b(?:rate|ratio|proportion|percentage)\\b') THEN 'share'
- WHEN regexp_matches(u, '/|\\bper\\b') OR regexp_matches(m, 'intensity|\\bper\\b') THEN 'intensity' WHEN regexp_matches(u, 'hk\\$|hkd|usd|us\\$|rmb|cny|dollar|港元|人民幣') THEN 'money'
- WHEN regexp_matches(u, 'person|people|employee|headcount|case|hour|人|宗|小時') THEN 'count' ELSE 'absolute' END AS label FROM x""")
+# Words that tell what an intensity metric divides by.
+PER = "intensity|density| per"
+PER_UNIT = "/|intensity| per"
+REVENUE = "RMB|HK|million|revenue"
+PRODUCTION = "volume|produced|MWh/1,000 tonnes|barrel|m2|square meter|unit|capita"
+STAFF = "employee|person"
+
+
+@queries("metric_label", f"""WITH x AS (SELECT id, coalesce(metric, '') AS m FROM environment_info)
+SELECT id, CASE WHEN NOT regexp_matches(m, '(?i){PER}') THEN 'not_intensity' WHEN regexp_matches(m, '(?i)per production') THEN 'per_production_intensity' WHEN regexp_matches(m, '(?i)per revenue') THEN 'per_revenue_intensity'
+ WHEN regexp_matches(m, '(?i)per employee') THEN 'per_employee_intensity' ELSE 'intensity' END AS label FROM x""")
 def metric_label(spark, d):
-    return table(spark, d, "environment_info").select("id", T.metric_kind("metric", "unit").alias("label"))
+    return table(spark, d, "environment_info").select("id", T.metric_kind("metric").alias("label"))
 
 
-@queries("metric_with_divisor", """WITH x AS (SELECT id, metric, lower(coalesce(unit, '')) AS u FROM environment_info)
-SELECT id, metric || CASE WHEN regexp_matches(u, '(?:/|per ) ?(?:employee|person|head)|/僱員') THEN ' per employee' WHEN regexp_matches(u, '(?:/|per ) ?(?:m2|m²|sq)|/平方米') THEN ' per area' WHEN regexp_matches(u, '(?:/|per ).*(?:hkd|revenue|rmb|usd)') THEN ' per revenue' ELSE '' END AS named FROM x""")
+@queries("metric_with_divisor", f"""WITH x AS (SELECT id, coalesce(metric, '') AS m, coalesce(unit, '') AS u FROM environment_info), y AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(m, '<s>[^<]*</s>', '', 'g'), '\\([^()]*\\)|（[^（）]*）', '', 'g'), '[\\n\\t\\r\\f ]+', ' ', 'g'), '^[ –—•-]+|[ –—•-]+$', '', 'g') AS plain,
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(m || ' ' || u, '<s>[^<]*</s>', '', 'g'), '\\([^()]*\\)|（[^（）]*）', '', 'g'), '[\\n\\t\\r\\f ]+', ' ', 'g'), '^[ –—•-]+|[ –—•-]+$', '', 'g') AS whole FROM x)
+SELECT id, CASE WHEN NOT (regexp_matches(m, '(?i){PER}') OR regexp_matches(u, '(?i){PER_UNIT}')) THEN plain WHEN regexp_matches(m || u, '(?i){REVENUE}') THEN CASE WHEN regexp_matches(m, '(?i)MtCO2e') THEN plain ELSE plain || ' per revenue' END
+ WHEN regexp_matches(m || u, '(?i){PRODUCTION}') THEN plain || ' per production' WHEN regexp_matches(m || u, '(?i){STAFF}') THEN plain || ' per employee' ELSE whole END AS named FROM y""")
 def metric_with_divisor(spark, d):
-    return table(spark, d, "environment_info").select("id", T.with_divisor("metric", "unit").alias("named"))
+    return table(spark, d, "environment_info").select("id", T.with_divisor("metric", "unit", PER, PER_UNIT, REVENUE, PRODUCTION, STAFF).alias("named"))
 
 
 @queries("cell_value_unit", """WITH x AS (SELECT id, trim(value) AS v, metric AS m FROM environment_info)
@@ -88,14 +96,18 @@ def document_kind(spark, d):
     return table(spark, d, "pdffiles").select("document_id", T.document_kind("filename").alias("kind"))
 
 
-@queries("edit_distance", "SELECT DISTINCT a.event_type AS a, b.event_type AS b, levenshtein(a.event_type, b.event_type) AS distance FROM events a, (SELECT DISTINCT event_type FROM events) b WHERE levenshtein(a.event_type, b.event_type) <= 5")
+@queries("edit_distance")
 def edit_distance(spark, d):
-    kinds = table(spark, d, "events").select("event_type").distinct()
-    pairs = kinds.select(F.col("event_type").alias("a")).join(kinds.select(F.col("event_type").alias("b")), F.levenshtein("a", "b") <= 5)
-    return pairs.select("a", "b", F.levenshtein("a", "b").cast("bigint").alias("distance"))
+    """Printed metric names within two edits of a metric's own name, by blocks of the first two characters and near length."""
+    from ..sources.tables import own_names
+
+    typed = table(spark, d, "environment_info").select(F.trim(F.lower("metric")).alias("typed")).filter("typed <> ''").distinct()
+    own = own_names(table(spark, d, "metric_schema")).select(F.trim(F.lower("own_name")).alias("name"))
+    pairs = typed.join(own, F.substring("typed", 1, 2) == F.substring("name", 1, 2)).filter(F.abs(F.char_length("typed") - F.char_length("name")) <= 2)
+    return pairs.withColumn("distance", F.levenshtein("typed", "name", 2).cast("bigint")).filter("distance BETWEEN 0 AND 2")
 
 
-@queries("sentence_counts", "SELECT doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?])\\s+|([。！？])', '\\1\\2\x01', 'g'), '\x01'), lambda s: trim(s) <> '')) AS sentences FROM documents WHERE regexp_matches(text, '^[ -~]+$')")
+@queries("sentence_counts", "SELECT doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?])\\s+|([。！？])', '\\1\\2\x01', 'g'), '\x01'), lambda s: trim(s) <> '')) AS sentences FROM documents")
 def sentence_counts(spark, d):
     """Sentences of every document; null for a null text, 0 for an empty or blank one."""
     return table(spark, d, "documents").select("doc_id", F.array_size(T.split_sentences("text")).cast("bigint").alias("sentences"))
@@ -167,7 +179,7 @@ def si_convert(spark, d):
     return units.join(to, "dimension").select("unit", "to_unit", F.round(F.col("factor") / F.col("to_factor"), 9).alias("multiplier"))
 
 
-@queries("currency_year_end", """SELECT e.id, round(e.converted_value / f.hkd_per_unit, 4) AS usd FROM environment_info e JOIN fx_rate f ON f.currency = 'USD' AND f.rate_year = TRY_CAST(nullif(regexp_extract(e.year, '[0-9]{4}', 0), '') AS INT) WHERE e.converted_unit = 'HKD' AND abs(e.converted_value) < 1e9""")
+@queries("currency_year_end", """SELECT e.id, round(e.converted_value / f.hkd_per_unit, 4) AS usd FROM environment_info e JOIN fx_rate f ON f.currency = 'USD' AND f.rate_year = TRY_CAST(nullif(regexp_extract(e.year, '[0-9]{4}', 0), '') AS INT) WHERE e.converted_unit = 'HKD'""")
 def currency_year_end(spark, d):
     """Amounts of any size in HKD at the rate of their year; null for a missing amount."""
     rates = table(spark, d, "fx_rate").filter("currency = 'USD'")

@@ -34,8 +34,8 @@ def line_spacing(spark, d):
 
 @queries("reading_order", "SELECT doc_id, page_id, CAST(row_number() OVER (PARTITION BY document_id, page_id ORDER BY doc_id) - 1 AS INT) AS pos FROM documents")
 def reading_order(spark, d):
-    w = Window.partitionBy("document_id", "page_id").orderBy("doc_id")
-    return table(spark, d, "documents").select("doc_id", "page_id", (F.row_number().over(w) - 1).alias("pos"))
+    placed = R.positions(table(spark, d, "documents").select("doc_id", "document_id", "page_id"), ["document_id", "page_id"], ["doc_id"], "pos")
+    return placed.select("doc_id", "page_id", (F.col("pos") - 1).cast("int").alias("pos"))
 
 
 @queries("carry_prefix", """SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS section FROM events""")
@@ -47,8 +47,8 @@ def carry_prefix(spark, d):
 @queries("duplicate_suffix", """WITH r AS (SELECT doc_id, block_element AS b, row_number() OVER (PARTITION BY document_id, page_id, block_element ORDER BY doc_id) - 1 AS k FROM documents)
 SELECT doc_id, b || CASE WHEN k > 0 THEN '_' || k ELSE '' END AS tag, b || repeat('*', CAST(k AS INT)) AS header FROM r""")
 def duplicate_suffix(spark, d):
-    k = F.row_number().over(Window.partitionBy("document_id", "page_id", "block_element").orderBy("doc_id")) - 1
-    made = table(spark, d, "documents").select("doc_id", F.col("block_element").alias("b"), k.alias("k"))
+    placed = R.positions(table(spark, d, "documents").select("doc_id", "document_id", "page_id", "block_element"), ["document_id", "page_id", "block_element"], ["doc_id"], "k")
+    made = placed.select("doc_id", F.col("block_element").alias("b"), (F.col("k") - 1).cast("int").alias("k"))
     return made.select("doc_id", F.concat(F.col("b"), F.when(F.col("k") > 0, F.concat(F.lit("_"), F.col("k"))).otherwise("")).alias("tag"), F.concat(F.col("b"), F.repeat(F.lit("*"), F.col("k"))).alias("header"))
 
 
@@ -114,7 +114,7 @@ def heading_tree(spark, d):
     level = F.when(F.col("block_element") == "title", 1).when(F.col("block_element") == "caption", 2).otherwise(3)
     blocks = table(spark, d, "documents").filter("document_id <> ''").select("doc_id", "document_id", level.alias("lvl"))
     w = Window.partitionBy("document_id").orderBy("doc_id")
-    after = w.rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy("document_id").orderBy(F.desc("doc_id")).rowsBetween(Window.unboundedPreceding, -1)  # from the end, so that each row adds one to the minimum
     pos = blocks.withColumn("pos", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("document_id")))
     for k in (1, 2, 3):
         pos = pos.withColumn(f"stop{k}", F.min(F.when(F.col("lvl") <= k, F.col("pos"))).over(after))

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from ..operators.detection import assign
+
 
 def follow(spark: SparkSession, folder: str, schema: StructType, per_trigger: int = 16) -> DataFrame:
     """Files of a folder as they come; those seen before are skipped by the query's checkpoint."""
@@ -42,14 +45,19 @@ def _iou(a: list[float], b: list[float]) -> float:
     return inter / union if union > 0 else 0.0
 
 
-def track_frame(state: dict, frame: int, boxes: list[tuple[int, list[float]]], threshold: float = 0.5, most_lost: int = 2) -> tuple[dict, list[tuple[int, int]]]:
+def track_frame(state: dict, frame: int, boxes: list[tuple[int, list[float]]], threshold: float = 0.5, most_lost: int = 2, optimal: bool = False) -> tuple[dict, list[tuple[int, int]]]:
     """One frame of an overlap tracker: the new state and (box id, track id) of each box.
 
     A box takes the free track whose last box it overlaps most, at least *threshold*, pairs in order of
-    overlap; others begin a track. Tracks not met for more than *most_lost* frames end.
+    overlap; others begin a track. With *optimal* the pairs are those of the assignment of least total cost instead, one
+    less the overlap each. Tracks not met for more than *most_lost* frames end.
     """
     tracks = dict(state.get("tracks", {}))
-    pairs = sorted(((_iou(box, t["box"]), -bid, -tid) for bid, box in boxes for tid, t in tracks.items()), reverse=True)
+    if optimal and boxes and tracks:
+        ids = sorted(tracks)
+        overlaps = np.array([[_iou(box, tracks[t]["box"]) for t in ids] for _, box in boxes])
+        best = {(boxes[i][0], ids[j]) for i, j in assign(1 - overlaps)}
+    pairs = sorted(((_iou(box, t["box"]), -bid, -tid) for bid, box in boxes for tid, t in tracks.items() if not optimal or (bid, tid) in best), reverse=True)
     taken, used, out = {}, set(), []
     for o, bid, tid in pairs:
         if o >= threshold and -bid not in taken and -tid not in used:
@@ -64,7 +72,7 @@ def track_frame(state: dict, frame: int, boxes: list[tuple[int, list[float]]], t
     return {"tracks": {k: t for k, t in tracks.items() if frame - t["frame"] <= most_lost}, "next": following}, out
 
 
-def track(frames: DataFrame, threshold: float = 0.5, most_lost: int = 2, idle_ms: int | None = None) -> DataFrame:
+def track(frames: DataFrame, threshold: float = 0.5, most_lost: int = 2, idle_ms: int | None = None, optimal: bool = False) -> DataFrame:
     """Track ids over a stream of boxes: video, frame, box_id, x0, y0, x1, y1 -> video, frame, box_id, track_id.
 
     Keyed state per video holds the live tracks only. With *idle_ms* videos that stay silent for so long
@@ -82,7 +90,7 @@ def track(frames: DataFrame, threshold: float = 0.5, most_lost: int = 2, idle_ms
         out = []
         for frame, group in rows.groupby("frame"):
             boxes = [(int(r.box_id), [float(r.x0), float(r.y0), float(r.x1), float(r.y1)]) for r in group.itertuples()]
-            held, found = track_frame(held, int(frame), boxes, threshold, most_lost)
+            held, found = track_frame(held, int(frame), boxes, threshold, most_lost, optimal)
             out += [(key[0], int(frame), b, t) for b, t in found]
         state.update((json.dumps(held),))
         if idle_ms:
@@ -90,3 +98,37 @@ def track(frames: DataFrame, threshold: float = 0.5, most_lost: int = 2, idle_ms
         yield pd.DataFrame(out, columns=["video", "frame", "box_id", "track_id"])
 
     return frames.groupBy("video").applyInPandasWithState(run, "video bigint, frame bigint, box_id bigint, track_id bigint", "held string", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
+
+
+def parquet_upsert(folder: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+    """For upsert_batches: merges each batch into a table of *keys* that is written whole under `version=<batch>`.
+
+    A batch that is run again after a failure writes the same version again from the one before it, so nothing is merged twice.
+    The last version is read by latest_version.
+    """
+    from ..operators.relational import upsert
+
+    def merge(rows: DataFrame, batch: int) -> None:
+        before = [v for v in _versions(rows.sparkSession, folder) if v < batch]
+        once = rows.dropDuplicates(keys)
+        old = rows.sparkSession.read.parquet(f"{folder}/version={max(before)}") if before else None
+        (once if old is None else upsert(old, once, keys)).write.mode("overwrite").parquet(f"{folder}/version={batch}")
+
+    return merge
+
+
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return []
+    names = [s.getPath() for s in system.listStatus(path)]
+    return sorted(int(p.getName().split("=")[1]) for p in names if p.getName().startswith("version=") and system.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def latest_version(spark: SparkSession, folder: str) -> DataFrame:
+    """The table that parquet_upsert has written last; none raises ValueError."""
+    there = _versions(spark, folder)
+    if not there:
+        raise ValueError(f"{folder} has no version")
+    return spark.read.parquet(f"{folder}/version={there[-1]}")

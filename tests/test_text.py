@@ -43,3 +43,23 @@ def test_vectors(spark):
     assert {r.id: r.matches for r in top_matches(df, df.filter("id <= 3"), "id", "v", 0.05, 2).collect()} == {1: [2], 2: [1, 3], 3: [2]}
     row = spark.createDataFrame([("waste",), (None,)], "t string").select(hashed_grams("t").alias("h"), F.col("t")).collect()
     assert sum(row[0].h) == 5 and len(row[1].h) == 64
+
+
+def test_near_names_like_trying_all(spark, tmp_path):
+    from quantafold.plans import registry
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    typed = ["Waste", "waste ", "Waste\u00a0x", "Wsate", "waist", "wa", "溫室氣體", "溫室氣休", "", None, "Waste", "Water"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(typed)], "id bigint, metric string").write.parquet(f"{tmp_path}/environment_info.parquet")
+    spark.createDataFrame([(1, '["Waste"]'), (2, '["溫室氣體"]')], "id bigint, metric string").selectExpr("*", "'t' AS unit", "CAST(NULL AS DOUBLE) AS density_ntp_kg_per_m3", "'x' AS category").write.parquet(f"{tmp_path}/metric_schema.parquet")
+    got = {tuple(r) for r in registry.QUERIES["edit_distance"](spark, str(tmp_path)).collect()}
+    names = {t.lower().strip(" ") for t in typed if t and t.strip(" ")}
+    assert got == {(t, n, d) for t in names for n in ("waste", "溫室氣體") if t[:2] == n[:2] and (d := distance(t, n)) <= 2}
