@@ -11,17 +11,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.unit_grammar import UnitGrammar
+from ..operators.units import bounded
 from ..sources.tables import present
 
 UNMATCHED = "unmatched"
 
-# Marks and notes that reports put around a name.
-LEADING = re.compile(r"^(?:[-–—•·*]|\([a-z0-9]{1,2}\)|\d{1,2}\.\d{1,2}\b|kpi\b)\s*")
-NOTES = re.compile(
-    r"\s*(?:\((?:note \d+|附註.{0,2}|附注.{0,2}|audited|unaudited|restated|incl\. subsidiaries)\)|\[\d+\]|/ year\b|, all sites\b|, restated\b|\s[-–] own operations\b|\s[-–] group\b|\bkpi\b)"
-)
-ASIDES = frozenset(("group", "own operations", "all sites", "restated", "audited"))
+# Marks of lists before a name, marks at its edges.
+LEADING = re.compile(r"^(?:[-–—•·*]|\([a-z0-9]{1,2}\)|\d{1,2}\.\d{1,2}\b)\s*")
 EDGES = " \t:;,.*#†-–—•"
+_BRACKETED = re.compile(r"[(\[]([^()\[\]]*)[)\]]")
+_BEHIND = re.compile(r"(?:\s[-–—]|\s*/|,)\s+([^,()\[\]–—/]+)$")
+_BEFORE = re.compile(r"^([^\W\d_]+)\s+(?=\S)")
+_NUMBERS = re.compile(r"[0-9一二三四五六七八九十]+")
+
+
+def _general(part: str) -> str:
+    """A part of a value with its numbers made alike: note 8 and note 12 are one."""
+    return _NUMBERS.sub("#", " ".join(part.split()))
+
+
+def _parts(s: str) -> Iterator[tuple[str, str]]:
+    """What stands beside a name and may be a note: ('beside', text in brackets or behind a comma, dash or stroke), ('before', first word)."""
+    for m in _BRACKETED.finditer(s):
+        yield "beside", _general(m[1])
+    bare = _BRACKETED.sub(" ", s).strip()
+    while m := _BEHIND.search(bare):
+        yield "beside", _general(m[1])
+        bare = bare[: m.start()].strip()
+    if m := _BEFORE.match(bare):
+        yield "before", m[1]
 
 
 class Automaton:
@@ -157,8 +175,10 @@ def allowed(length: int) -> int:
 class Canonicalizer:
     """Finds the entry that a freely entered value means."""
 
-    def __init__(self, entries: dict[str, list[str]], aliases: list[tuple[str, str]] = ()):
+    def __init__(self, entries: dict[str, list[str]], aliases: list[tuple[str, str]] = (), asides: list[tuple[str, str]] = ()):
         self.units = UnitGrammar()
+        self.beside = {"", "#"} | {t for kind, t in asides if kind == "beside"}
+        self.before = {t for kind, t in asides if kind == "before"}
         self.trie = AliasTrie()
         self.kept: dict[str, str] = {}
         for entry, names in entries.items():
@@ -171,8 +191,7 @@ class Canonicalizer:
         for word in sorted({w for names in entries.values() for n in names if n for w in self.plain(n).split() if w.isalpha()}):
             self.vocabulary.setdefault(word[0], []).append(word)
 
-    @staticmethod
-    def plain(value: str) -> str:
+    def plain(self, value: str) -> str:
         """Lower case, no markup, no numbering or notes, single blanks."""
         s = re.sub(r"(?i)\b(co|m)<s>([23])</s>", r"\1\2", value)  # part of a unit, not a note's mark
         s = unicodedata.normalize("NFKC", re.sub(r"<s>[^<>]*</s>", "", s)).lower().replace("_", " ")
@@ -180,7 +199,12 @@ class Canonicalizer:
         before = None
         while before != s:
             before = s
-            s = LEADING.sub("", NOTES.sub("", s).strip(EDGES.replace(".", ""))).strip()
+            s = _BRACKETED.sub(lambda m: " " if _general(m[1]) in self.beside else m[0], LEADING.sub("", s.strip(EDGES.replace(".", "")))).strip()
+            if (m := _BEHIND.search(s)) and _general(m[1]) in self.beside:
+                s = s[: m.start()].strip()
+            if (m := _BEFORE.match(s)) and m[1] in self.before:
+                s = s[m.end() :]
+            s = " ".join(s.split())
         return s
 
     def _shapes(self, value: str) -> Iterator[str]:
@@ -189,7 +213,7 @@ class Canonicalizer:
         seen = set()
         for base in (s, *self._without_unit(s)):
             base = self.plain(base)
-            parts = [x for p in base.split(",") if (x := self.plain(p.strip(EDGES)).strip(EDGES)) and x not in ASIDES]
+            parts = [x for p in base.split(",") if (x := self.plain(p.strip(EDGES)).strip(EDGES)) and _general(x) not in self.beside]
             turned = [f"{' '.join(parts[k:])} {' '.join(parts[:k])}" for k in range(1, len(parts))] + ([" ".join(parts)] if "," in base else [])
             for shape in (base, *turned):
                 shape = " ".join(shape.split())
@@ -268,7 +292,29 @@ def _in_order(letters: str, word: str) -> bool:
     return all(c in rest for c in letters)
 
 
-def mine_aliases(known: DataFrame, entries: dict[str, list[str]], share: float = 0.0005, least: int = 3) -> list[tuple[str, str]]:
+def mine_asides(known: DataFrame, entries: dict[str, list[str]], spread: float = 0.15, least: int = 5, share: float = 0.001) -> list[tuple[str, str]]:
+    """What stands beside names without telling which: parts of values (in brackets, behind commas, dashes and strokes, first words)
+    that occur with at least *spread* of all entries (and *least*), in at least *share* of the distinct wordings.
+
+    *known*: `value`, `entry`. A wording has a handful of parts, so at most some parts / *share* come to the driver. First words that begin a name
+    of an entry are none.
+    """
+    begins = {w for names in entries.values() for n in names if n for w in n.lower().split()[:1]}
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        finder = Canonicalizer({})
+        for part in parts:
+            found = [(kind, text, entry) for value, entry in zip(part["value"], part["entry"], strict=True) for kind, text in set(_parts(finder.plain(value))) if text and not (kind == "before" and text in begins)]
+            yield pd.DataFrame(found, columns=["kind", "part", "entry"])
+
+    wordings = known.filter(present("value") & present("entry")).select("value", "entry").distinct()
+    total = wordings.count()
+    counted = wordings.mapInPandas(run, "kind string, part string, entry string").groupBy("kind", "part", "entry").agg(F.count("*").alias("n")).groupBy("kind", "part").agg(F.count("*").alias("spread"), F.sum("n").alias("n"))
+    kept = counted.filter((F.col("spread") >= max(least, spread * len(entries))) & (F.col("n") >= share * total)).select("kind", "part")
+    return sorted((r.kind, r.part) for r in bounded(kept, 20_000, "asides"))
+
+
+def mine_aliases(known: DataFrame, entries: dict[str, list[str]], share: float = 0.0005, least: int = 3, asides: list[tuple[str, str]] = ()) -> list[tuple[str, str]]:
     """Alias paths from rows whose entry is known: `value`, `entry`, `who`.
 
     A wording that the trie doesn't reach becomes an alias of its entry if at least *least* different
@@ -276,10 +322,11 @@ def mine_aliases(known: DataFrame, entries: dict[str, list[str]], share: float =
     that entry. *share* bounds the result: at most 1 / share aliases per entry go to the driver. Counts
     are over all rows.
     """
+    notes = list(asides)
     counted = known.filter(present("value") & present("entry")).groupBy("value", "entry").agg(F.count("*").alias("n"), F.count_distinct("who").alias("w"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        finder = Canonicalizer(entries)
+        finder = Canonicalizer(entries, (), notes)
         for part in parts:
             rows = []
             for value, entry, n, w in zip(part["value"], part["entry"], part["n"], part["w"], strict=True):
@@ -302,10 +349,10 @@ def mine_aliases(known: DataFrame, entries: dict[str, list[str]], share: float =
     return chosen
 
 
-def canonicalize(rows: DataFrame, columns: list[str], entries: dict[str, list[str]], aliases: list[tuple[str, str]] = (), output: str = "canonical") -> DataFrame:
+def canonicalize(rows: DataFrame, columns: list[str], entries: dict[str, list[str]], aliases: list[tuple[str, str]] = (), output: str = "canonical", asides: list[tuple[str, str]] = ()) -> DataFrame:
     """All rows with *output*: the entry that the first of *columns* that names one means, else 'unmatched'.
 
-    A trie of the entries, their synonyms and *aliases* is searched with a Levenshtein automaton; all
+    *asides* (mine_asides) are set aside first. A trie of the entries, their synonyms and *aliases* is searched with a Levenshtein automaton; all
     entries within a distance that depends on the value's length are candidates, the nearest wins, and
     values as near to two entries are unmatched. Values are read once per distinct combination, which
     is joined back by its text, so a value that fills a third of all rows is searched once.
@@ -319,10 +366,10 @@ def canonicalize(rows: DataFrame, columns: list[str], entries: dict[str, list[st
     rows = rows.drop(output)
     keys = [f"_quantafold_k{i}" for i in range(len(columns))]
     texts = [F.coalesce(F.col(c), F.lit("")).alias(k) for c, k in zip(columns, keys, strict=True)]
-    pairs = list(aliases)
+    pairs, notes = list(aliases), list(asides)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        finder = Canonicalizer(entries, pairs)
+        finder = Canonicalizer(entries, pairs, notes)
         for part in parts:
             found = []
             for values in zip(*[part[k] for k in keys], strict=True):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.years import calendar_year
 from ..operators.units import bounded
 from ..sources.tables import listed, own_names, present, table
-from .canonical import canonicalize, mine_aliases
+from .canonical import canonicalize, mine_aliases, mine_asides
 from .encode import encode, round_trip_losses
 from .packing import fill_report, overfull, pack
 from .spellings import link_spellings, variant_pairs
@@ -39,10 +39,12 @@ def _canonical(spark: SparkSession, folder: str) -> DataFrame:
     facts, schema = table(spark, folder, "environment_info"), table(spark, folder, "metric_schema")
     entries = {r.own_name: list(r.synonyms) for r in bounded(own_names(schema).select("own_name", "synonyms"), 20_000, "metric_schema")}
     known = listed(facts.select("metric", "target_metric", "company_name"), schema)
-    aliases = mine_aliases(known.select(F.col("metric").alias("value"), F.col("target_metric").alias("entry"), F.col("company_name").alias("who")), entries)
+    known = known.select(F.col("metric").alias("value"), F.col("target_metric").alias("entry"), F.col("company_name").alias("who"))
+    asides = mine_asides(known, entries)
+    aliases = mine_aliases(known, entries, asides=asides)
     own = own_names(schema).select(F.col("own_name").alias("target_metric"))
     rows = facts.select("id", "target_metric", "metric").filter(present("target_metric") | present("metric")).join(own, "target_metric", "left_anti")
-    return canonicalize(rows, ["target_metric", "metric"], entries, aliases)
+    return canonicalize(rows, ["target_metric", "metric"], entries, aliases, asides=asides)
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

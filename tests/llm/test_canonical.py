@@ -2,7 +2,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quantafold.functions.names import edit_distance
-from quantafold.llm.canonical import AliasTrie, Canonicalizer, allowed, canonicalize, mine_aliases
+from quantafold.llm.canonical import AliasTrie, Canonicalizer, allowed, canonicalize, mine_aliases, mine_asides
 
 ENTRIES = {"Female Employees": ["Female Employees", "Women employed", "女性僱員"], "Male Employees": ["Male Employees", "Men employed"], "Diesel Burned by Vehicles": ["Diesel Burned by Vehicles"], "Hazardous Waste Generated": ["Hazardous Waste Generated"]}
 
@@ -27,7 +27,7 @@ def test_automaton_finds_what_brute_force_finds(words, query, most):
 
 
 def test_meanings():
-    find = Canonicalizer(ENTRIES, [("ladies on staff", "Female Employees")]).find
+    find = Canonicalizer(ENTRIES, [("ladies on staff", "Female Employees")], [("beside", "year"), ("beside", "group"), ("before", "kpi")]).find
     for text in ["Female Empolyees", "(b) FEMALE_EMPLOYEES<s>5</s>", "Employees, Female", "• Women\nemployed / year [2]", "女性僱員 (千人)", "Female Empl.", "KPI Ladies on staff, in persons", "Women employed persons", "Employees, 6.5 Female", "– group, Female Employees"]:
         assert find(text) == "Female Employees", text
     assert find("Burned by Vehicles, Diesel") == "Diesel Burned by Vehicles" and find("Haz. Waste Gen.") == "Hazardous Waste Generated"
@@ -79,3 +79,14 @@ def test_beginnings(words, query, most):
     for w in words:
         trie.add(w, w)
     assert trie.begins(query, most) == any(plain_distance(query, w[:k]) <= most for w in words for k in range(len(w) + 1))
+
+
+def test_notes_are_learnt(spark):
+    entries = {name: [name] for name in ("Waste", "Water", "Energy", "Staff", "Gifts", "Fines", "Total Paper")}
+    rows = [(f"KPI {e} (note {k}) – group", e) for k, e in enumerate(entries)] + [(f"{e}, all sites", e) for e in entries] + [("Waste (Scope 1)", "Waste"), ("Water (Scope 1)", "Water"), (None, "Water"), ("", "Water")]
+    known = spark.createDataFrame(rows, "value string, entry string")
+    asides = mine_asides(known, entries)
+    assert asides == [("before", "kpi"), ("beside", "all sites"), ("beside", "group"), ("beside", "note #")]
+    find = Canonicalizer(entries, (), asides).find
+    assert find("Fines (note 99), all sites") == "Fines" and find("KPI Gifts – group [2]") == "Gifts" and find("Total Paper") == "Total Paper"
+    assert mine_asides(known.limit(0), entries) == []
