@@ -38,7 +38,7 @@ def _parts(s: str) -> Iterator[tuple[str, str]]:
     while m := _BEHIND.search(bare):
         yield "beside", _general(m[1])
         bare = bare[: m.start()].strip()
-    if m := _BEFORE.match(bare):
+    if "," not in s and (m := _BEFORE.match(bare)):  # a turned name begins with what stands behind others
         yield "before", m[1]
 
 
@@ -213,7 +213,7 @@ class Canonicalizer:
         seen = set()
         for base in (s, *self._without_unit(s)):
             base = self.plain(base)
-            parts = [x for p in base.split(",") if (x := self.plain(p.strip(EDGES)).strip(EDGES)) and _general(x) not in self.beside]
+            parts = [x for p in base.split(",") if (x := self.plain(p.strip(EDGES)).strip(EDGES)) and _general(x) not in self.beside and x not in self.before]
             turned = [f"{' '.join(parts[k:])} {' '.join(parts[:k])}" for k in range(1, len(parts))] + ([" ".join(parts)] if "," in base else [])
             for shape in (base, *turned):
                 shape = " ".join(shape.split())
