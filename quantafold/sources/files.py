@@ -163,7 +163,7 @@ def _sheets(content: bytes) -> Iterator[tuple[int, int, list]]:
 
 def hocr_words(spark: SparkSession, path: str) -> DataFrame:
     """`path`, `pos`, `word` and its box x0, y0, x1, y1 of recognised pages in hOCR."""
-    pages = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    pages = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     span = r"<span[^>]*class=['\"]ocrx_word['\"][^>]*title=['\"][^'\"]*?bbox (\d+ \d+ \d+ \d+)[^'\"]*['\"][^>]*>(.*?)</span>"
     found = pages.select("path", F.posexplode(F.arrays_zip(F.regexp_extract_all("value", F.lit(f"(?s){span}"), 1).alias("b"), F.regexp_extract_all("value", F.lit(f"(?s){span}"), 2).alias("w"))).alias("pos", "x"))
     box = lambda k: F.get(F.split("x.b", " "), F.lit(k)).cast("double")

@@ -18,6 +18,7 @@ from quantafold.operators.vectors import block_matches, cosine, hashed_grams, wo
 
 def boxes(spark, rows):
     """rows: page, obj_id, x0, y0, x1, y1, score, label"""
+    rows = [(*r[:2], *map(float, r[2:7]), r[7]) for r in rows]
     df = spark.createDataFrame(rows, "page int, obj_id int, x0 double, y0 double, x1 double, y1 double, score double, label string")
     return df.withColumn("box", box("x0", "y0", "x1", "y1")).drop("x0", "y0", "x1", "y1")
 
@@ -131,7 +132,7 @@ def test_greedy_matches_and_recall(spark):
     found = boxes(spark, [(1, 1, 0, 0, 10, 10, 0.9, "a"), (1, 2, 0, 0, 10, 9, 0.8, "a"), (2, 1, 0, 0, 200, 100, 0.9, "a")])
     matched = D.greedy_matches(found, truth, "page")
     assert sorted(map(tuple, matched.collect())) == [(1, 1, 1.0), (2, 1, 0.5)]
-    recall = {(r.size, r.threshold): r.recall for r in D.recall_by_size(matched, truth, "page", [0.5, 0.75], {"small": (0, 1000), "large": (1000, 1e9)}).collect()}
+    recall = {(r.size, r.threshold): r.recall for r in D.recall_by_size(matched, truth, "page", [0.5, 0.75], {"small": (0.0, 1000.0), "large": (1000.0, 1e9)}).collect()}
     assert recall == {("small", 0.5): 0.5, ("small", 0.75): 0.5, ("large", 0.5): 1.0, ("large", 0.75): 0.0}
 
 
