@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -268,10 +268,11 @@ def table_similarity(tables: DataFrame, kind: str = "content") -> DataFrame:
     return tables.groupBy("table_id").applyInPandas(run, f"table_id {dict(tables.dtypes)['table_id']}, similarity double")
 
 
-def shrink_overlaps(spans: pd.DataFrame) -> Iterator[tuple[int, int, int, int]]:
+def shrink_overlaps(spans: pd.DataFrame | Iterable[tuple[int, int, int, int, float]]) -> Iterator[tuple[int, int, int, int]]:
     """Spanning cells (row0, row1, col0, col1, score) in order of score, each cut back until it overlaps none before it; those cut to nothing are left out."""
     kept: list[tuple[int, int, int, int]] = []
-    for r0, r1, c0, c1, _ in spans.sort_values("score", ascending=False, kind="stable").itertuples(index=False):
+    rows = spans.itertuples(index=False) if isinstance(spans, pd.DataFrame) else spans
+    for r0, r1, c0, c1, _ in sorted(rows, key=lambda s: -s[4]):
         for k0, k1, q0, q1 in kept:
             while r0 <= r1 and c0 <= c1 and r0 <= k1 and k0 <= r1 and c0 <= q1 and q0 <= c1:
                 if min(k1 - r0, r1 - k0) <= min(q1 - c0, c1 - q0):
@@ -356,11 +357,10 @@ def panoptic_quality(predicted: DataFrame, truth: DataFrame, page: list[str], la
 
 def shrunk_spans(spans: DataFrame, table: str) -> DataFrame:
     """*table*, row0, row1, col0, col1 of spanning cells cut back until none overlap (shrink_overlaps), one table at a time."""
-    where = spans.columns.index
+    name, places = spans.columns.index(table), [spans.columns.index(c) for c in ("row0", "row1", "col0", "col1", "score")]
 
     def run(rows: list[tuple]) -> list[tuple]:
-        frame = pd.DataFrame([[r[where(c)] for c in ("row0", "row1", "col0", "col1", "score")] for r in rows], columns=["row0", "row1", "col0", "col1", "score"])
-        return [(rows[0][where(table)], *map(int, s)) for s in shrink_overlaps(frame)]
+        return [(rows[0][name], *s) for s in shrink_overlaps([tuple(r[p] for p in places) for r in rows])]
 
     return per_group(spans, [table], ["score", "row0", "col0"], run, f"`{table}` {dict(spans.dtypes)[table]}, row0 int, row1 int, col0 int, col1 int")
 

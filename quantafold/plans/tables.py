@@ -181,7 +181,7 @@ def reading_sorted(spark, d):
     return detections(spark, d).select("page", "obj_id", F.row_number().over(down).alias("reading"), F.row_number().over(across).alias("by_middle"))
 
 
-@queries("superscript_words", f"""WITH {BOX_SQL}, l AS (SELECT *, CAST(y0 // 200 AS INT) AS line FROM b) SELECT w.page, w.obj_id, CASE WHEN count(s.obj_id) > 0 THEN w.label || '<s>' || string_agg(CAST(s.obj_id AS VARCHAR), '' ORDER BY s.obj_id) || '</s>' ELSE w.label END AS word
+@queries("superscript_words", f"""WITH {BOX_SQL}, l AS (SELECT *, CAST(floor(y0 / 200) AS INT) AS line FROM b) SELECT w.page, w.obj_id, CASE WHEN count(s.obj_id) > 0 THEN w.label || '<s>' || string_agg(CAST(s.obj_id AS VARCHAR), '' ORDER BY s.obj_id) || '</s>' ELSE w.label END AS word
 FROM l w LEFT JOIN l s ON s.page = w.page AND s.line = w.line AND s.side = 'O' AND s.x0 <= w.x1 AND w.x0 <= s.x1 AND s.y0 <= w.y1 AND w.y0 <= s.y1 WHERE w.side = 'F' GROUP BY w.page, w.obj_id, w.label""")
 def superscript_words(spark, d):
     """Words with the raised marks that touch them on their line, tagged."""

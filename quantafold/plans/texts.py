@@ -107,7 +107,7 @@ def edit_distance(spark, d):
     return pairs.withColumn("distance", F.levenshtein("typed", "name", 2).cast("bigint")).filter("distance BETWEEN 0 AND 2")
 
 
-@queries("sentence_counts", "SELECT doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?])\\s+|([。！？])', '\\1\\2\x01', 'g'), '\x01'), lambda s: trim(s) <> '')) AS sentences FROM documents")
+@queries("sentence_counts", r"SELECT doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?])[\s\p{Z}]+|([。！？])', '\1\2' || chr(1), 'g'), chr(1)), lambda s: regexp_matches(s, '[^\s\p{Z}\x{200B}\x{FEFF}]'))) AS sentences FROM documents")
 def sentence_counts(spark, d):
     """Sentences of every document; null for a null text, 0 for an empty or blank one."""
     return table(spark, d, "documents").select("doc_id", F.array_size(T.split_sentences("text")).cast("bigint").alias("sentences"))
