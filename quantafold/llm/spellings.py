@@ -1,7 +1,7 @@
 """Variant spellings of names typed by people (problem 2).
 
-A prefix-filtered set-similarity join on token q-grams proposes, soft weighted token similarity
-decides. Spellings are first read to forms (case, order, general words and punctuation set aside), so
+A set-similarity join on token q-grams proposes, soft weighted token similarity decides; of the pairs proposed
+only those meet whose words can be alike enough. Spellings are first read to forms (case, order, general words and punctuation set aside), so
 that the join runs over distinct forms and a spelling that fills a third of all rows counts once.
 """
 
@@ -14,12 +14,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import Form, NameReader, grams, likeness
-from ..operators.company_keys import general_words
+from ..operators.company_keys import ALIKE, HELD_BY_MANY, general_words, meets
 from ..session import cut
 from ..sources.tables import present
 
 THRESHOLD = 0.5  # share of the typed form's q-grams that a partner must hold to be proposed
-ALIKE = 0.8  # likeness from which a proposal holds
 MARGIN = 0.02  # by which the best partner must surpass the next one
 
 _FORMS = "name string, kind string, sector string, tokens array<string>, form string, grams array<string>"
@@ -73,6 +72,18 @@ def propose(typed: DataFrame, of: DataFrame, threshold: float = THRESHOLD) -> Da
     return pairs.filter(overlap >= F.ceil(F.size("grams") * F.lit(threshold))).select("form", "kind", "sector", "tokens", "partner", "partner_sector", "partner_tokens")
 
 
+def propose_alike(typed: DataFrame, of: DataFrame, threshold: float = THRESHOLD, many: int = HELD_BY_MANY) -> DataFrame:
+    """Those pairs of propose that can be alike, without meeting all the others.
+
+    A q-gram is held by a share of all forms, so the pairs that meet on one grow with the square of the forms, and nearly
+    all of them are dropped by their likeness. Here forms meet on what a likeness of ALIKE requires, and the overlap
+    of q-grams is counted whole for these.
+    """
+    pairs = meets(typed, of, many).join(typed.select("form", "grams"), "form").join(of.select(F.col("form").alias("partner"), F.col("grams").alias("partner_grams")), "partner")
+    overlap = F.size(F.array_intersect("grams", "partner_grams"))
+    return pairs.filter(overlap >= F.ceil(F.size("grams") * F.lit(threshold))).select("form", "kind", "sector", "tokens", "partner", "partner_sector", "partner_tokens")
+
+
 def verify(pairs: DataFrame, weights: DataFrame) -> DataFrame:
     """The pairs with `alike`, their soft weighted token likeness; *weights*: `token`, `weight`."""
     held = pairs.join(
@@ -136,7 +147,7 @@ def link_spellings(spellings: DataFrame, registry: DataFrame | None, sectors: li
     forms = cut(read.filter("kind <> ''").dropDuplicates(["form"]).drop("name"))
     registered = read_forms(registry.filter(present("name")).select("name").distinct(), sectors, general).join(registry, "name").filter("kind <> '' and size(tokens) > 0")
     owners = cut(registered.groupBy("form", "kind", "sector", "tokens", "grams").agg(F.min("entity").alias("entity"), F.count_distinct("entity").alias("n")).filter("n = 1").drop("n"))
-    checked = verify(cut(propose(forms, owners.drop("entity"))), _weights(owners)).join(owners.select(F.col("form").alias("partner"), "entity"), "partner")
+    checked = verify(cut(propose_alike(forms, owners.drop("entity"))), _weights(owners)).join(owners.select(F.col("form").alias("partner"), "entity"), "partner")
     per_entity = cut(checked.filter(F.col("alike") >= ALIKE).groupBy("form", "entity").agg(F.max("alike").alias("alike")))
     order = Window.partitionBy("form").orderBy(F.desc("alike"), "entity")
     ranked = per_entity.withColumn("_next", F.lead("alike", 1, 0.0).over(order)).withColumn("_rank", F.row_number().over(order))
@@ -144,7 +155,7 @@ def link_spellings(spellings: DataFrame, registry: DataFrame | None, sectors: li
     loose = cut(forms.join(per_entity.select("form").distinct(), "form", "left_anti"))
     labels = spark.createDataFrame([], "node string, label string")
     if not loose.isEmpty():
-        own = verify(cut(propose(loose, loose)), _weights(loose)).filter((F.col("alike") >= ALIKE) & (F.col("form") != F.col("partner")))
+        own = verify(cut(propose_alike(loose, loose)), _weights(loose)).filter((F.col("alike") >= ALIKE) & (F.col("form") != F.col("partner")))
         labels = components(own.select(F.col("form").alias("a"), F.col("partner").alias("b")))
     itself = F.when(F.col("form") == "||", F.concat(F.lit("name:"), "name")).otherwise(F.concat(F.lit("form:"), F.coalesce("label", "form")))
     joined = read.select("name", "form").join(owned, "form", "left").join(labels.withColumnRenamed("node", "form"), "form", "left")

@@ -18,7 +18,7 @@ from ..session import cut
 from ..sources.tables import present
 from .units import bounded
 
-ALIKE = 0.8
+ALIKE = 0.8  # likeness from which two forms are of one company
 MARGIN = 0.02
 
 

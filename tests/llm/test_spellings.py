@@ -1,4 +1,5 @@
-from quantafold.llm.spellings import components, link_spellings, propose, read_forms, variant_pairs
+from quantafold.functions.names import Form, likeness
+from quantafold.llm.spellings import ALIKE, components, link_spellings, propose, propose_alike, read_forms, variant_pairs
 
 SECTORS = ["Power", "Paper", "Steel"]
 REGISTRY = [("1", "Ginosyel Drastenbri Power Company Limited"), ("1", "永信卓邦億電力股份有限公司"), ("2", "Felrostam Drakarfel Paper Group"), ("3", "Felrostam Drakarfel Power Group"), ("4", None)]
@@ -43,6 +44,22 @@ def test_prefix_filter_loses_no_pair(spark):
     assert {(r.form, r.partner) for r in propose(forms, forms, 0.5).collect()} == whole
 
 
+def test_proposals_that_can_be_alike_and_few_others(spark):
+    import random
+
+    rng = random.Random(5)
+    syllables = ["gra", "tam", "ost", "nel", "quel", "pa", "bri", "dor"]
+    names = ["".join(rng.choices(syllables, k=3)) + " " + "".join(rng.choices(syllables, k=3)) for _ in range(150)]
+    names += [n[:3] + "x" + n[4:] for n in names[:75]] + [n.replace(" ", "") for n in names[75:]]
+    forms = read_forms(spark.createDataFrame([(n,) for n in names], "name string"), SECTORS).dropDuplicates(["form"]).drop("name").cache()
+    read = {r.form: Form(r.kind, r.sector, tuple(r.tokens)) for r in forms.collect()}
+    every = {(r.form, r.partner) for r in propose(forms, forms).collect()}
+    alike = {p for p in every if likeness(read[p[0]], read[p[1]]) >= ALIKE}
+    for many in (2, 1000):
+        got = {(r.form, r.partner) for r in propose_alike(forms, forms, many=many).collect()}
+        assert len(alike) > len(read) and alike <= got <= every and len(got) < len(every) / 2
+
+
 def test_components(spark):
     edges = [(f"n{i:02}", f"n{i + 1:02}") for i in range(20)] + [("x", "y")]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a string, b string")).collect()}
