@@ -116,7 +116,7 @@ def meets(typed: DataFrame, of: DataFrame, many: int = HELD_BY_MANY) -> DataFram
     """All pairs of forms whose likeness can be ALIKE or more, with whatever weights of words: `form`, `kind`, `sector`,
     `tokens` and `partner`, `partner_sector`, `partner_tokens`.
 
-    *typed* and *of*: distinct forms with kind, sector, tokens. What likeness requires is used, so that no pair that is alike is lost:
+    *typed* and *of*: distinct forms (Form.key) with kind, sector, tokens. What likeness requires is used, so that no pair that is alike is lost:
     - as a mean it needs one pair of words that is as much alike, so words are paired first, distinct ones only, and
       forms meet on them, within the same sector or where one names none (a key of its own, so that the join is on
       equality). Each further word of the partner must resemble one that is typed; that is tested where they meet, before rows move.
@@ -130,19 +130,24 @@ def meets(typed: DataFrame, of: DataFrame, many: int = HELD_BY_MANY) -> DataFram
     mine, whose = ["form", "kind", "sector", "tokens"], ["partner", "partner_sector", "partner_tokens"]
     latin, latin_of = typed.filter("kind = 'en' and size(tokens) > 0").select(*mine), right.filter("partner_kind = 'en' and size(partner_tokens) > 0").select(*whose)
 
-    fields = F.explode(F.when(F.col("sector") == "", F.array(F.lit("*"))).otherwise(F.array("sector", F.lit(""))))
+    # rows that meet carry sector and words only, of which the form is made again
+    form, partner = (F.concat(F.lit("en|"), F.col(of), F.lit("|"), F.array_join(words, " ")) for of, words in (("sector", "tokens"), ("partner_sector", "partner_tokens")))
+    whole = [form.alias("form"), F.lit("en").alias("kind"), "sector", "tokens", partner.alias("partner"), "partner_sector", "partner_tokens"]
+    slim, slim_of = mine[2:], whose[1:]
     of_fields = F.explode(F.when(F.col("partner_sector") == "", F.array(F.lit("*"), F.lit(""))).otherwise(F.array("partner_sector", F.lit("*"))))
-    posted = latin_of.select(*whose, F.posexplode("partner_tokens").alias("_at", "of_word")).withColumn("field", of_fields)
-    asked = latin.select(*mine, F.posexplode("tokens").alias("_at", "word"))
+    posted = latin_of.select(*slim_of, F.posexplode("partner_tokens").alias("_at", "of_word")).withColumn("field", of_fields)
+    asked = latin.select(*slim, F.posexplode("tokens").alias("_at", "word"))
     alike = cut(_alike_words(asked.select("word").distinct(), posted.select(F.col("of_word").alias("word")).distinct()))
-    asked = asked.join(alike, "word").withColumn("field", fields)
+    bare = posted.filter("field = ''").select("of_word").distinct()  # held by partners that name no sector, mostly few
+    anywhere = asked.filter("sector <> ''").join(alike.join(bare, "of_word", "left_semi"), "word").withColumn("field", F.lit(""))
+    asked = asked.join(alike, "word").withColumn("field", F.when(F.col("sector") == "", "*").otherwise(F.col("sector"))).unionByName(anywhere)
     heavy = cut(posted.groupBy("field", "of_word").agg(F.count("*").alias("_n")).filter(F.col("_n") > many).select("field", "of_word"))
     resembles = F.forall("partner_tokens", lambda y: F.exists("tokens", lambda x: F.startswith(y, x) | ((F.abs(F.length(x) - F.length(y)) <= 2) & _edits(x, y, 4))))
     enough = (F.size("tokens") >= F.size("partner_tokens")) & (4 * F.size("tokens") <= 5 * F.size("partner_tokens")) & resembles
     if heavy.isEmpty():
-        met = [asked.drop("_at").join(posted.drop("_at"), ["field", "of_word"]).filter(enough).select(*out)]
+        met = [asked.drop("_at").join(posted.drop("_at"), ["field", "of_word"]).filter(enough).select(*whole)]
     else:
-        met = [asked.drop("_at").join(heavy, ["field", "of_word"], "left_anti").join(posted.drop("_at"), ["field", "of_word"]).filter(enough).select(*out)]
+        met = [asked.drop("_at").join(heavy, ["field", "of_word"], "left_anti").join(posted.drop("_at"), ["field", "of_word"]).filter(enough).select(*whole)]
 
         def others(words: str) -> Column:  # the form's other words; "" where it has none, which only a form of one word can be alike to
             rest = F.filter(words, lambda _, at: at != F.col("_at"))
@@ -150,9 +155,9 @@ def meets(typed: DataFrame, of: DataFrame, many: int = HELD_BY_MANY) -> DataFram
 
         left = asked.join(heavy, ["field", "of_word"]).withColumn("_rest", others("tokens"))
         held = posted.join(heavy, ["field", "of_word"]).withColumn("_rest", others("partner_tokens"))
-        left = _keyed(left, [*mine, "field", "of_word"], "_rest", lambda ws: sorted({k for w in ws for k in weak_keys(w, True)}))
-        held = _keyed(held, [*whose, "field", "of_word"], "_rest", lambda ws: sorted({k for w in ws for k in weak_keys(w, False)}))
-        met.append(left.join(held, ["field", "of_word", "key"]).filter(enough).select(*out))
+        left = _keyed(left, [*slim, "field", "of_word"], "_rest", lambda ws: sorted({k for w in ws for k in weak_keys(w, True)}))
+        held = _keyed(held, [*slim_of, "field", "of_word"], "_rest", lambda ws: sorted({k for w in ws for k in weak_keys(w, False)}))
+        met.append(left.join(held, ["field", "of_word", "key"]).filter(enough).select(*whole))
 
     longest = latin_of.agg(F.max(F.size("partner_tokens"))).first()[0] or 0
     if longest > 1:
